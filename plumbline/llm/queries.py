@@ -32,7 +32,19 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_mixing": op2_mixing, "op3_token_counts": op3_token_counts, "op6_url_filters": op6_url_filters}
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    return shard(read(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"))
+
+
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_mixing": op2_mixing, "op3_token_counts": op3_token_counts, "op6_url_filters": op6_url_filters, "op8_sharding": op8_sharding, "op10_quality_rules": op10_quality_rules}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {"op6_url_filters": URL_ORACLE}
