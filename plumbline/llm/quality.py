@@ -29,7 +29,7 @@ from .common import WORD_SQL, stored
 #: Hashed features of words, and as many of word pairs.
 FEATURES = 4096
 SMOOTHING = 1.0
-SPREAD = 6.0
+SPREAD = 7.0
 #: At most so many trusted texts make the target model.
 TRUSTED = 20_000
 MIN_WORDS = 50
