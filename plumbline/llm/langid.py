@@ -45,6 +45,8 @@ MARK = "▁"
 UNKNOWN, SMOOTHING = 1e-7, 0.05
 #: Bound of each worker's memory of words.
 REMEMBERED = 600_000
+#: New words of texts with about so many characters are learned together.
+CHUNK = 2_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -197,16 +199,26 @@ class Scorer(dict):
                     self.rows[i, :-1] += row
                     self.rows[i, -1] += len(r) - 1
 
-    def score(self, text: str) -> tuple[str, float]:
-        words = tokens_of(text)
-        new = {w for w in words if w not in self}
-        if new:
-            if len(self) + len(new) > REMEMBERED:
-                self.clear()
-                new = set(words)
-            self.learn(new)
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        total = self.rows[at].sum(0)
+    def scores(self, texts: list[str]) -> Iterator[tuple[str, float]]:
+        """Language and posterior of each text; new words are learned for many texts at once."""
+        lo = 0
+        while lo < len(texts):
+            hi, chars = lo, 0
+            while hi < len(texts) and chars < CHUNK:
+                chars += len(texts[hi])
+                hi += 1
+            cut = [tokens_of(t) for t in texts[lo:hi]]
+            new = {w for words in cut for w in words if w not in self}
+            if new:
+                if len(self) + len(new) > REMEMBERED:
+                    self.clear()
+                    new = {w for words in cut for w in words}
+                self.learn(new)
+            for words in cut:
+                yield self.decide(self.rows[np.fromiter(map(self.__getitem__, words), np.int64, len(words))].sum(0))
+            lo = hi
+
+    def decide(self, total: np.ndarray) -> tuple[str, float]:
         if not total[-1] or not self.model.languages:
             return UNDETERMINED, 0.0
         logs = total[:-1]
@@ -221,7 +233,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.score(t or "") for t in batch.column(1).to_pylist()]
+            found = list(scorer.scores([t or "" for t in batch.column(1).to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
