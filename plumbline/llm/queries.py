@@ -45,6 +45,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify, train
 
@@ -75,7 +81,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_mixing": op2_mixing, "op3_token_counts": op3_token_counts, "op6_url_filters": op6_url_filters, "op8_sharding": op8_sharding, "op10_quality_rules": op10_quality_rules, "op5_language_id": op5_language_id, "op7_media_columns": op7_media_columns, "op9_html_extraction": op9_html_extraction}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_mixing": op2_mixing, "op3_token_counts": op3_token_counts, "op6_url_filters": op6_url_filters, "op8_sharding": op8_sharding, "op10_quality_rules": op10_quality_rules, "op4_near_duplicates": op4_near_duplicates, "op5_language_id": op5_language_id, "op7_media_columns": op7_media_columns, "op9_html_extraction": op9_html_extraction}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {"op6_url_filters": URL_ORACLE}
