@@ -33,7 +33,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Keeps the documents that pass the base rules and the log-likelihood ratio."""
     trusted = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     model = quality.fit(docs, trusted)
-    return quality.judged(docs, model).filter("kept").select(*docs.columns)
+    return quality.kept_rows(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -157,5 +157,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Ids must not repeat."""
     copies = mix(docs, id_col, text_col, source_col, **options).filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    out = docs.join(copies, docs[id_col].eqNullSafe(copies["_id"])).drop("_id")
-    return out.withColumn("_copy", F.explode(F.expr("sequence(1, copies)"))).drop("_copy", "copies")
+    rows = docs.select(F.struct(*docs.columns).alias("_all"), F.col(id_col).alias("_doc"))
+    rows = rows.join(copies, F.col("_doc").eqNullSafe(F.col("_id")))
+    return rows.withColumn("_copy", F.explode(F.expr("sequence(1, copies)"))).select("_all.*")

@@ -14,7 +14,8 @@ grow with the corpus. All counts cover every row.
 Defined results: a null text is an empty one; it has no words and fails the base
 rules. Without trusted texts or without words in the corpus all ratios are 0 and
 the verdict is true. Repeated rows are judged each; an empty table gives an empty
-table; other columns are kept by ``judged`` and ignored by ``quality``.
+table; other columns are kept by ``judged`` (which
+replaces those named as its own) and ``kept_rows``, and ignored by ``quality``.
 """
 
 from __future__ import annotations
@@ -143,6 +144,13 @@ def judged(docs: DataFrame, model: tuple[list[float], float], text_col: str = "t
     return df.withColumn("kept", ~F.col("base_failed") & verdict)
 
 
+def kept_rows(docs: DataFrame, model: tuple[list[float], float], text_col: str = "text", features: int = FEATURES) -> DataFrame:
+    """The rows of docs whose verdict is true. The row number keeps the optimizer from moving the filter below the rules' projections, where it would compute them anew for each of their uses."""
+    packed = docs.select(F.struct(*docs.columns).alias("_all"), F.col(text_col).alias("_text"))
+    rows = judged(packed, model, "_text", features).withColumn("_row", F.monotonically_increasing_id())
+    return rows.filter((F.col("_row") >= 0) & F.col("kept")).select("_all.*")
+
+
 def quality(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", features: int = FEATURES, spread: float = SPREAD) -> DataFrame:
     """Per row: doc_id, the base columns, score and kept."""
     model = fit(docs, trusted_ids, id_col, text_col, features, spread)
