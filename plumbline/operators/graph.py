@@ -113,42 +113,45 @@ def backfill(edges: DataFrame, vectors: DataFrame, m: int, alpha: float = ALPHA,
     return select_neighbors(scored, vectors, m, alpha, True, metric)
 
 
-def build_partitioned(vectors: DataFrame, m: int = 16, parts: int = 8, rounds: int = 2, seed: int = 42, metric: str = "l2") -> DataFrame:
-    """(src, dst, dist): an approximate graph built where the data lie. Vectors are range-partitioned by a random projection into about
-    ``parts`` runs of neighbours in space, linked exactly inside each in blocks of bounded size, and refined across parts by backfill."""
-    dim = vectors.select(F.max(F.size("v"))).first()[0] or 1
-    plane = np.random.default_rng(seed).normal(size=dim)
-    plane = (plane / np.linalg.norm(plane)).tolist()
+def _linked_locally(vectors: DataFrame, plane: list[float], parts: int, m: int, block: int = 2048, overlap: int = 256) -> DataFrame:
+    """(src, dst, dist): each vector's nearest among those near it along a projection. Vectors are range-partitioned and sorted by it; a task takes them in
+    overlapping blocks of bounded size."""
     placed = vectors.select("id", "v").withColumn("key", V.projection("v", plane)).repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id")
 
     def run(frames):
         carried = None
         for whole in frames:
-            for lo in range(0, len(whole), 2048):
-                pdf = whole.iloc[lo : lo + 2048]
+            for lo in range(0, len(whole), block):
+                pdf = whole.iloc[lo : lo + block]
                 joined = pdf if carried is None else pd.concat([carried, pdf])
                 v, ids = np.stack(joined["v"].to_list()).astype(float), joined["id"].to_numpy()
                 near = (v * v).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * v @ v.T
                 np.fill_diagonal(near, np.inf)
-                take = min(2 * m, len(ids) - 1)
+                take = min(m, len(ids) - 1)
                 if take > 0:
                     at = np.argsort(near, axis=1, kind="stable")[:, :take]
-                    src = np.repeat(ids, take)
-                    dist = ((v[:, None, :] - v[at]) ** 2).sum(2).ravel()
-                    yield pd.DataFrame({"src": src, "dst": ids[at].ravel(), "dist": dist})
-                carried = pdf.iloc[-256:]
+                    yield pd.DataFrame({"src": np.repeat(ids, take), "dst": ids[at].ravel(), "dist": ((v[:, None, :] - v[at]) ** 2).sum(2).ravel()})
+                carried = pdf.iloc[-overlap:]
 
     kind = vectors.schema["id"].dataType.simpleString()
-    edges = placed.select("id", "v").mapInPandas(run, f"src {kind}, dst {kind}, dist double")
+    return placed.select("id", "v").mapInPandas(run, f"src {kind}, dst {kind}, dist double")
+
+
+def build_partitioned(vectors: DataFrame, m: int = 16, parts: int = 8, projections: int = 3, rounds: int = 2, seed: int = 42, metric: str = "l2") -> DataFrame:
+    """(src, dst, dist): an approximate graph with at most 2 * m edges a node, built where the data lie: linked locally along several random projections, then
+    refined by rounds of backfill over the edges and, for each node, its m nearest reverse edges. No node gathers more than its candidates."""
+    dim = vectors.select(F.max(F.size("v"))).first()[0] or 1
+    rng, edges = np.random.default_rng(seed), None
+    for _ in range(projections):
+        plane = rng.normal(size=dim)
+        found = _linked_locally(vectors, (plane / np.linalg.norm(plane)).tolist(), parts, m)
+        edges = found if edges is None else edges.unionByName(found)
+    nearest = W.partitionBy("src").orderBy("dist", "dst")
     edges = edges.groupBy("src", "dst").agg(F.min("dist").alias("dist"))
-    # random far links join the parts
-    far = vectors.select(F.col("id").alias("src"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("g"))
-    hubs = vectors.select(F.col("id").alias("dst"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(parts)).alias("g")).groupBy("g").agg(F.min("dst").alias("dst"))
-    v = vectors.select("id", "v")
-    links = far.join(hubs, "g").filter("src != dst").select("src", "dst").join(v.withColumnsRenamed({"id": "src", "v": "q"}), "src").join(v.withColumnRenamed("id", "dst"), "dst")
-    edges = edges.unionByName(links.select("src", "dst", V.l2_sq("q", "v").alias("dist"))).groupBy("src", "dst").agg(F.min("dist").alias("dist"))
+    edges = cut(edges.withColumn("rn", F.row_number().over(nearest)).filter(F.col("rn") <= m).drop("rn"))
     for _ in range(rounds):
-        edges = cut(backfill(edges, vectors, m, metric=metric))
+        back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist").withColumn("rn", F.row_number().over(nearest)).filter(F.col("rn") <= m).drop("rn")
+        edges = cut(backfill(edges.unionByName(back), vectors, 2 * m, metric=metric))
     return edges
 
 

@@ -33,7 +33,8 @@ def query(sql: str | None = None) -> Callable:
 
 
 def r6(c: Column | str) -> Column:
-    return F.round(c, 6)
+    """Rounded to six digits; adding 0 makes a negative zero positive."""
+    return F.round(c, 6) + F.lit(0.0)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +264,7 @@ def centroid(spark, sf_dir):
     return rabitq.centroid(vectors(spark, sf_dir)).select(F.posexplode("c").alias("pos", "m")).select(F.col("pos").cast("long").alias("pos"), r6("m").alias("m"))
 
 
-@query(f"{E}, rot as (select {json.dumps(ROTATION)}::double[][] as m), x as (select id, list_transform(m, lambda row: list_dot_product(row, v)) as x from e, rot) select id, generate_subscripts(x, 1) - 1 as pos, round(unnest(x), 6) as x from x")
+@query(f"{E}, rot as (select {json.dumps(ROTATION)}::double[][] as m), x as (select id, list_transform(m, lambda row: list_dot_product(row, v)) as x from e, rot) select id, generate_subscripts(x, 1) - 1 as pos, round(unnest(x), 6) + 0.0::double as x from x")
 def rabitq_rotate(spark, sf_dir):
     return _flat(vectors(spark, sf_dir).select("id", rabitq.rotate("v", ROTATION).alias("x")))
 
@@ -287,7 +288,7 @@ def rabitq_estimate(spark, sf_dir):
 
 
 def _est_top_sql(bits: int, k: int = K) -> str:
-    return f"{_rabitq_sql(bits)}, p as (select qid, id, greatest(raw, 0) as d from est), r as (select qid, id, d, row_number() over (partition by qid order by d, id) as rank from p) select qid, id, round(d, 6) as distance, rank from r where rank <= {k}"
+    return f"{_rabitq_sql(bits)}, p as (select qid, id, greatest(raw, 0) as d from est), rk as (select qid, id, d, row_number() over (partition by qid order by d, id) as rank from p) select qid, id, round(d, 6) as distance, rank from rk where rank <= {k}"
 
 
 @query(_est_top_sql(4))
@@ -303,21 +304,21 @@ def rabitq_topk_1bit(spark, sf_dir):
 _PAIR = f"p as (select a.id as qid, b.id as id, a.v as q, b.v as v from e a join e b on a.id < {Q} and a.id <> b.id), l2 as (select qid, id, {L2} as d from p)"
 
 
-@query(f"{_rabitq_sql(4)}, {_PAIR}, r as (select l2.qid, l2.id, greatest(raw, 0) as est, d, row_number() over (partition by l2.qid order by d, l2.id) as rank from l2 join est using (qid, id)) select qid, id, round(est, 6) as estimated, round(d, 6) as precise, rank from r where rank <= {K}")
+@query(f"{_rabitq_sql(4)}, {_PAIR}, rk as (select l2.qid, l2.id, greatest(raw, 0) as est, d, row_number() over (partition by l2.qid order by d, l2.id) as rank from l2 join est using (qid, id)) select qid, id, round(est, 6) as estimated, round(d, 6) as precise, rank from rk where rank <= {K}")
 def combined_asymmetric(spark, sf_dir):
     near = topk.top_k_bulk(*both(spark, sf_dir), K)
     found = near.join(_estimates(spark, sf_dir, 4), ["qid", "id"])
     return found.select("qid", "id", r6("estimate").alias("estimated"), r6("distance").alias("precise"), "rank")
 
 
-@query(f"{_rabitq_sql(4)}, {_PAIR}, s as (select qid, id, greatest(raw, 0) as est, row_number() over (partition by qid order by greatest(raw, 0), id) as rn from est), r as (select s.qid, s.id, est, d, row_number() over (partition by s.qid order by d, s.id) as rank from s join l2 using (qid, id) where rn <= {5 * K}) select qid, id, round(est, 6) as estimated, round(d, 6) as precise, rank from r where rank <= {K}")
+@query(f"{_rabitq_sql(4)}, {_PAIR}, s as (select qid, id, greatest(raw, 0) as est, row_number() over (partition by qid order by greatest(raw, 0), id) as rn from est), rk as (select s.qid, s.id, est, d, row_number() over (partition by s.qid order by d, s.id) as rank from s join l2 using (qid, id) where rn <= {5 * K}) select qid, id, round(est, 6) as estimated, round(d, 6) as precise, rank from rk where rank <= {K}")
 def combined_two_phase(spark, sf_dir):
     q, base = both(spark, sf_dir)
     some = topk.ranked(_estimates(spark, sf_dir, 4), 5 * K, "estimate", "id", "qid").select("qid", "id", "estimate", "rank")
     return topk.two_phase(some, base, q, K).select("qid", "id", r6("estimate").alias("estimated"), r6("precise").alias("precise"), "rank")
 
 
-@query(f"{_rabitq_sql(4)}, {_PAIR}, c as (select qid, id, row_number() over (partition by qid order by d, id) as rn from l2), r as (select c.qid, c.id, greatest(raw, 0) as d, row_number() over (partition by c.qid order by greatest(raw, 0), c.id) as rank from c join est using (qid, id) where rn <= 64) select qid, id, round(d, 6) as distance, rank from r where rank <= {K}")
+@query(f"{_rabitq_sql(4)}, {_PAIR}, cn as (select qid, id, row_number() over (partition by qid order by d, id) as rn from l2), rk as (select cn.qid, cn.id, greatest(raw, 0) as d, row_number() over (partition by cn.qid order by greatest(raw, 0), cn.id) as rank from cn join est using (qid, id) where rn <= 64) select qid, id, round(d, 6) as distance, rank from rk where rank <= {K}")
 def nsw_rabitq_rescore(spark, sf_dir):
     near = topk.top_k_bulk(*both(spark, sf_dir), 64).select("qid", "id")
     return shown(topk.ranked(near.join(_estimates(spark, sf_dir, 4), ["qid", "id"]), K, "estimate", "id", "qid"), "estimate")
