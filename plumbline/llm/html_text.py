@@ -38,7 +38,9 @@ from .common import ascii_lower, stored
 
 #: Pages that a host's wrapper is learned from, different texts it takes, and the share of them in which a template's text is the same.
 SAMPLE, LEAST, CONSTANT = 8, 4, 0.9
-#: Trees beyond this many nodes aren't taken as the tree that others are aligned with, if there is a smaller one.
+#: Wrappers are learned from trees up to this depth, which bounds the matching's recursion.
+DEEP = 300
+#: Up to so many bytes of wrappers are broadcast; more are joined.
 WRAPPERS_BROADCAST_BYTES = 16_000_000
 
 # HTML's elements by kind.
@@ -211,12 +213,20 @@ def size(node: Node) -> int:
     return 1 + sum(map(size, node.children))
 
 
+def depth(node: Node) -> int:
+    found, level = 0, [node]
+    while level:
+        found, level = found + 1, [c for n in level for c in n.children]
+    return found
+
+
 def induce(pages: list[str]) -> str | None:
-    """The wrapper of same-host pages as JSON; None if they show no template."""
+    """The wrapper of same-host pages as JSON; None if they show no template. Trees deeper than DEEP teach nothing."""
     different: dict[str, Node] = {}
     for html in pages:
         tree = parse(html)
-        different.setdefault(page_text(tree), tree)
+        if depth(tree) <= DEEP:
+            different.setdefault(page_text(tree), tree)
     if len(different) < LEAST:
         return None
     trees = sorted(different.values(), key=size)
