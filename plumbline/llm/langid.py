@@ -44,9 +44,9 @@ MARK = "▁"
 #: Probability of a letter that no piece covers, and what is added to every piece's expected count.
 UNKNOWN, SMOOTHING = 1e-7, 0.05
 #: Bound of each worker's memory of words.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: New words of texts with about so many characters are learned together.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -65,15 +65,48 @@ def runs_of(word: str) -> list[str]:
     return [MARK + r for r in _LETTERS.findall(word.lower())]
 
 
+class PieceIndex:
+    """Pieces found by a 64-bit hash of their characters, for many substrings at once."""
+
+    def __init__(self, pieces: list[str]):
+        self.none, self.single = len(pieces), len(pieces) + 1
+        hashes = np.zeros(len(pieces), np.uint64)
+        for n in {len(p) for p in pieces}:
+            at = [i for i, p in enumerate(pieces) if len(p) == n]
+            hashes[at] = list(self.substrings(self.characters([pieces[i] for i in at]), 0, n))[-1]
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+
+    @staticmethod
+    def characters(runs: list[str]) -> np.ndarray:
+        return np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(runs), -1).astype(np.uint64)
+
+    @staticmethod
+    def substrings(chars: np.ndarray, at: int, longest: int) -> Iterator[np.ndarray]:
+        """Hashes of the substrings from a place, by growing length."""
+        h = np.full(len(chars), 0x9E3779B97F4A7C15, np.uint64)
+        for k in range(at, min(at + longest, chars.shape[1])):
+            h = (h ^ chars[:, k]) * np.uint64(0xFF51AFD7ED558CCD)
+            h = h ^ (h >> np.uint64(29))
+            yield h
+
+    def find(self, hashes: np.ndarray, missing: int) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(hashes), missing, np.int32)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.order[at], missing).astype(np.int32)
+
+
 class Lattice:
     """All pieces of a set of equally long runs: ids[w, i, l] is the piece of length l + 1 at place i, or the row for 'none'."""
 
-    def __init__(self, runs: list[str], table: dict[str, int]):
-        n, none, single = len(runs[0]), len(table), len(table) + 1
-        get = table.get
-        flat = [get(r[i : i + k], single if k == 1 else none) if i + k <= n else none for r in runs for i in range(n) for k in range(1, LONGEST + 1)]
-        self.ids = np.array(flat, np.int32).reshape(len(runs), n, LONGEST)
-        self.n = n
+    def __init__(self, runs: list[str], index: PieceIndex):
+        self.n = len(runs[0])
+        chars = index.characters(runs)
+        self.ids = np.full((len(runs), self.n, LONGEST), index.none, np.int32)
+        for i in range(self.n):
+            for k, h in enumerate(index.substrings(chars, i, LONGEST)):
+                self.ids[:, i, k] = index.find(h, index.none if k else index.single)
 
     def forward(self, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """alpha[j] (runs x languages) for each place j, scaled, and the logs of the scales at each place."""
@@ -124,8 +157,8 @@ def by_length(runs: Iterable[str], most: int = 4096) -> Iterator[list[str]]:
 
 def learn(counts: dict[str, int], pieces: list[str], rounds: int = ROUNDS) -> np.ndarray:
     """Probabilities of the pieces from counts of runs, then 0 for 'none' and UNKNOWN for a letter that no piece covers."""
-    table = {p: i for i, p in enumerate(pieces)}
-    parts = [(Lattice(g, table), np.array([counts[r] for r in g], float)) for g in by_length(r for r in counts if len(r) <= 32)]
+    index = PieceIndex(pieces)
+    parts = [(Lattice(g, index), np.array([counts[r] for r in g], float)) for g in by_length(r for r in counts if len(r) <= 32)]
     prob = np.full((len(pieces) + 2, 1), 1 / max(1, len(pieces)))
     prob[-2:, 0] = 0, UNKNOWN
     for _ in range(rounds):
@@ -179,7 +212,7 @@ class Scorer(dict):
 
     def __init__(self, model: Model):
         self.model = model
-        self.table = {p: i for i, p in enumerate(model.pieces)}
+        self.index = PieceIndex(model.pieces)
         self.rows = np.zeros((1024, len(model.languages) + 1))
 
     def learn(self, words: set[str]) -> None:
@@ -193,7 +226,7 @@ class Scorer(dict):
                 owners.setdefault(r, []).append(i)
         self.rows[first : len(self)] = 0
         for group in by_length(owners):
-            found = Lattice(group, self.table).log_prob(self.model.prob)
+            found = Lattice(group, self.index).log_prob(self.model.prob)
             for r, row in zip(group, found, strict=True):
                 for i in owners[r]:
                     self.rows[i, :-1] += row

@@ -154,16 +154,15 @@ def test_forward_sums_all_segmentations():
         return found + (langid.UNKNOWN * brute(run[1:]) if run[0] not in table else 0)
 
     for run in ("▁ab", "▁abab", "▁zab", "▁aabbabab", "▁" + "ab" * 9):
-        assert np.exp(langid.Lattice([run], table).log_prob(prob))[0, 0] == pytest.approx(brute(run))
-    long = langid.Lattice(["▁" + "z" * 3000], table).log_prob(prob)
+        assert np.exp(langid.Lattice([run], langid.PieceIndex(pieces)).log_prob(prob))[0, 0] == pytest.approx(brute(run))
+    long = langid.Lattice(["▁" + "z" * 3000], langid.PieceIndex(pieces)).log_prob(prob)
     assert np.isfinite(long).all()
 
 
 def test_expected_uses_add_up():
     pieces = ["▁", "a", "b", "ab"]
-    table = {p: i for i, p in enumerate(pieces)}
     prob = np.array([[0.4], [0.2], [0.2], [0.2], [0.0], [langid.UNKNOWN]])
-    uses = langid.Lattice(["▁ab"], table).expected(prob, np.array([3.0]))
+    uses = langid.Lattice(["▁ab"], langid.PieceIndex(pieces)).expected(prob, np.array([3.0]))
     split, whole = 0.4 * 0.2 * 0.2, 0.4 * 0.2
     assert uses[0] == pytest.approx(3) and uses[3] == pytest.approx(3 * whole / (split + whole)) and uses[1] == pytest.approx(3 * split / (split + whole))
 
