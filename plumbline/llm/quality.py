@@ -35,6 +35,8 @@ SPREAD = 7.0
 TRUSTED = 20_000
 MIN_WORDS = 50
 MAX_REPEATED = 50
+#: The columns of the base rules.
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 #: Up to so many repeated windows are looked up one by one; more are found by sorting.
 FEW = 16
 
@@ -141,14 +143,16 @@ def judged(docs: DataFrame, model: tuple[list[float], float], text_col: str = "t
     ratios, threshold = model
     df = with_base(docs, text_col).withColumn("score", _score(ratios, features)).drop("_w")
     verdict = F.col("score") >= F.lit(threshold) if math.isfinite(threshold) else F.lit(True)
-    return df.withColumn("kept", ~F.col("base_failed") & verdict)
+    df = df.withColumn("kept", ~F.col("base_failed") & verdict)
+    found = [*BASE, "score", "kept"]
+    # As a generator's output, the columns are computed once: a filter on one of them isn't moved below the rules' projections, where it would compute them anew for each of their uses.
+    return df.select(*(c for c in docs.columns if c not in found), F.inline(F.array(F.struct(*found))))
 
 
 def kept_rows(docs: DataFrame, model: tuple[list[float], float], text_col: str = "text", features: int = FEATURES) -> DataFrame:
-    """The rows of docs whose verdict is true. The row number keeps the optimizer from moving the filter below the rules' projections, where it would compute them anew for each of their uses."""
+    """The rows of docs whose verdict is true."""
     packed = docs.select(F.struct(*docs.columns).alias("_all"), F.col(text_col).alias("_text"))
-    rows = judged(packed, model, "_text", features).withColumn("_row", F.monotonically_increasing_id())
-    return rows.filter((F.col("_row") >= 0) & F.col("kept")).select("_all.*")
+    return judged(packed, model, "_text", features).filter("kept").select("_all.*")
 
 
 def quality(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", features: int = FEATURES, spread: float = SPREAD) -> DataFrame:
