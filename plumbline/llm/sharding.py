@@ -5,7 +5,7 @@ together. The splitters between shards are found by counting exact bytes below
 candidate keys: every round counts, over all partitions, the bytes of equal
 intervals of the key space inside which splitters lie, and moves each splitter to
 the interval's edge nearest to its target; a splitter that isn't within the
-tolerance is refined inside its interval. The driver sees at most
+tolerance is refined inside its interval, unless that holds a single row. The driver sees at most
 ``shards * 2 ** bits`` sums a round. Then the rows are exchanged once, into many
 small buckets of each shard, where they get their slots.
 
@@ -54,12 +54,15 @@ def find_splitters(keyed: DataFrame, shards: int = SHARDS, tolerance: float = TO
             spots = [list(p) for p in open_at]
             known = F.array(*(_digit(i, bits) for i in range(level)))
             rows = rows.withColumn("p", known).filter(F.col("p").isin([F.array(*map(F.lit, s)) for s in spots]))
-            sums = rows.groupBy("p", "d").agg(F.sum("size").alias("b"))
+            sums = rows.groupBy("p", "d").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
         else:
-            sums = rows.groupBy("d").agg(F.sum("size").alias("b")).select(F.array().cast("array<int>").alias("p"), "d", "b")
+            sums = rows.groupBy("d").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).select(F.array().cast("array<int>").alias("p"), "d", "b", "n")
         counted: dict[tuple[int, ...], dict[int, int]] = {}
+        single: set[tuple[int, ...]] = set()  # intervals of one row, which can't be split
         for r in sums.collect():  # at most (shards - 1) * 2 ** bits rows
             counted.setdefault(tuple(r["p"]), {})[r["d"]] = r["b"]
+            if r["n"] == 1:
+                single.add((*r["p"], r["d"]))
         if not level:
             total = sum(counted.get((), {}).values())
             open_at = {(): (0.0, [(i, total * i / shards) for i in range(1, shards)])}
@@ -72,10 +75,10 @@ def find_splitters(keyed: DataFrame, shards: int = SHARDS, tolerance: float = TO
                 edges.append((at, d + 1))
             for i, target in targets:
                 bytes_below, edge = min(edges, key=lambda e: (abs(e[0] - target), e[1]))
-                if abs(bytes_below - target) <= most or level == levels - 1:
+                d = next((d for d in range(2**bits) if edges[d + 1][0] > target), 2**bits - 1)
+                if abs(bytes_below - target) <= most or level == levels - 1 or (*prefix, d) in single:
                     splitters.append((*prefix, edge))
                     continue
-                d = next((d for d in range(2**bits) if edges[d + 1][0] > target), 2**bits - 1)
                 further.setdefault((*prefix, d), (edges[d][0], []))[1].append((i, target))
         open_at = further
         if not open_at:
