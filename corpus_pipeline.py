@@ -37,10 +37,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group, the one with the least id; of rows with the same id one."""
-    ids = neardup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if neardup.docs_repeat(docs, "doc_id") else kept
+    """Keeps one document of each group, the one with the least id; rows, not ids, are judged."""
+    return neardup.kept_rows(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

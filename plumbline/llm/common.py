@@ -58,6 +58,16 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def docs_repeat(docs: DataFrame, id_col: str) -> bool:
+    """Whether an id stands in more than one row."""
+    return bool(docs.groupBy(id_col).count().filter("count > 1").limit(1).count())
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """Whole rows as _all and a number of each as _row, stored, for rows that their ids don't tell apart."""
+    return stored(docs.select(F.struct(*docs.columns).alias("_all"), F.monotonically_increasing_id().alias("_row")), "rows")
+
+
 def ascii_lower(col):
     """Lower-cases A-Z only."""
     return F.translate(col, UPPER, LOWER)

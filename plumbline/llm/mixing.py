@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_SQL, stored
+from .common import WORD_SQL, docs_repeat, numbered, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -155,8 +155,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. Ids must not repeat."""
-    copies = mix(docs, id_col, text_col, source_col, **options).filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    rows = docs.select(F.struct(*docs.columns).alias("_all"), F.col(id_col).alias("_doc"))
+    """The rows of docs, each as often as the mix takes it. Where ids repeat, rows are told apart by their place in docs."""
+    if docs_repeat(docs, id_col):
+        rows = numbered(docs).withColumnRenamed("_row", "_doc")
+        named = rows.select("_doc", F.col("_all").getField(text_col).alias("_text"), F.col("_all").getField(source_col).alias("_source"))
+        copies = mix(named, "_doc", "_text", "_source", **options)
+    else:
+        rows = docs.select(F.struct(*docs.columns).alias("_all"), F.col(id_col).alias("_doc"))
+        copies = mix(docs, id_col, text_col, source_col, **options)
+    copies = copies.filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
     rows = rows.join(copies, F.col("_doc").eqNullSafe(F.col("_id")))
     return rows.withColumn("_copy", F.explode(F.expr("sequence(1, copies)"))).select("_all.*")

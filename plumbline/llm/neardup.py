@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, stored, words_of
+from .common import ASCII_LOWER, docs_repeat, numbered, stored, words_of
 
 SHINGLE = 4
 THRESHOLD = (80, 100)
@@ -334,6 +334,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One whole row of each group, the one with the least id, null being the greatest. Where ids repeat, rows are nodes of their own, so
+    of rows with one id only those whose texts are linked go."""
+    if not docs_repeat(docs, id_col):
+        ids = near_duplicates(docs, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("_id"))
+        rows = docs.select(F.struct(*docs.columns).alias("_all"), F.col(id_col).alias("_doc"))
+        return rows.join(ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").select("_all.*")
+    rows = numbered(docs)
+    row_id = F.col("_all").getField(id_col)
+    keys = rows.select(F.struct(row_id.isNull().alias("none"), row_id.alias("id"), F.col("_row").alias("row")).alias("_key"), F.col("_all").getField(text_col).alias("_text"))
+    kept = near_duplicates(keys, "_key", "_text", **options).filter("kept").select(F.col("doc_id.row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select("_all.*")
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int, broadcast_rows: int = 2_000_000) -> DataFrame:
     """(label, cls, data) with the full sets of the wanted classes (node, label, first), one of each class."""
     few = wanted.count() <= broadcast_rows  # at most so many rows of 60 bytes
@@ -352,8 +366,3 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
     w = wanted.select(F.col("node").alias("cls"), "label")
     joined = sets.join(F.broadcast(w) if few else w, "cls")
     return joined.groupBy("label", "cls").agg(F.first("data").alias("data")) if docs_repeat(docs, id_col) else joined
-
-
-def docs_repeat(docs: DataFrame, id_col: str) -> bool:
-    """Whether an id stands in more than one row."""
-    return bool(docs.groupBy(id_col).count().filter("count > 1").limit(1).count())

@@ -132,6 +132,22 @@ def test_mixed_rows_keep_columns(spark, docs):
     assert Counter(r["doc_id"] for r in out.collect()) == Counter({k: n for k, n in copies.items() if n})
 
 
+def test_stages_where_ids_repeat(spark, tmp_path):
+    """Rows of one id, or of none, are judged each: one of each group of linked texts stays, and no copy is taken more than twice."""
+    texts = [" ".join(f"{name}{i}" for i in range(80)) for name in "abc"]
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[1]), (None, texts[1]), (None, texts[2]), (None, "few words"), (2, "few words"), (3, None), (3, None)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, copies int").repartition(3)
+    kept = corpus_pipeline.near_dedup(spark, frame, DATA)
+    assert kept.columns == frame.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, texts[0]), (1, texts[1]), (None, texts[2]), (2, "few words"), (3, None), (3, None)])
+    mixed = corpus_pipeline.mix_sources(spark, frame, DATA)
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    times = Counter(r["copies"] for r in spark.read.parquet(str(tmp_path / "mixed")).collect())
+    whole = sum(len((t or "").split()) for _, t in rows)
+    assert mixed.columns == frame.columns and max(times.values()) <= 2
+    assert abs(sum(n * len((rows[k][1] or "").split()) for k, n in times.items()) - 1.5 * whole) <= 40
+
+
 def test_token_counts(spark, docs, empty):
     a = token_counts.LongestMatch(token_counts.read_ranks(token_counts.VOCABULARY))
     want = {}
