@@ -21,12 +21,10 @@ LEAST_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language can be told: with a letter, and a posterior of at least LEAST_SCORE. Ids may repeat; rows
-    are judged, not ids, so the verdict is carried beside each row."""
+    are judged, not ids."""
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
     model = langid.train(docs.filter(~F.coalesce(held_out, F.lit(False))))
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("words"))
-    found = langid.identify(row, model, id_col="row", text_col="words")
-    return found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("doc_id.*")
+    return langid.kept_rows(docs, model, LEAST_SCORE)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,8 @@ MARK = "▁"
 UNKNOWN, SMOOTHING = 1e-7, 0.05
 #: Bound of each worker's memory of words.
 REMEMBERED = 250_000
+#: Rows of a batch that are taken together, so that few texts are Python strings at once.
+SLICE = 1024
 #: New words of texts with about so many characters are learned together.
 CHUNK = 1_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -259,15 +261,35 @@ class Scorer(dict):
         return self.model.languages[best], float(1 / np.exp(logs - logs[best]).sum())
 
 
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for lo in range(0, whole.num_rows, SLICE):
+            yield whole.slice(lo, SLICE)
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, lang_pred, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary's size times the languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = list(scorer.scores([t or "" for t in batch.column(1).to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+
+
+def kept_rows(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The whole rows whose language can be told with a score of at least ``least``; each row goes to Python once, with its text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary's size times the languages
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in slices(batches):
+            found = scorer.scores([t or "" for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

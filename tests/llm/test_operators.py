@@ -239,6 +239,16 @@ def test_language_id(spark, docs, empty):
     assert langid.identify(empty, model).count() == 0
 
 
+def test_rows_kept_by_language(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(langid, "SLICE", 2)
+    model = langid.train(docs)
+    told = {(r["doc_id"], r["lang_pred"] != "und" and r["score"] >= 0.9) for r in langid.identify(docs, model).collect()}
+    kept = langid.kept_rows(docs, model, 0.9)
+    assert kept.columns == docs.columns
+    assert rows_of(kept) == rows_of(docs.filter(" or ".join(f"doc_id <=> {'null' if i is None else i}" for i, yes in told if yes)))
+    assert langid.kept_rows(empty, model, 0.9).collect() == []
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://", "http://A.Example.COM/en/7x?y", "https://x.net/de/1", "a://example.net/de/8#q", "q://org/es/", "http://com/en/", "http://xcom/en/", "x?y=http://b.com/en/a b", "http://a.com:80/en/", "http://h.com/en/1\n2"]
     pages = spark.createDataFrame([(i, u, "r", "v") for i, u in enumerate(urls)] + [(4, urls[4], "r", "v")], "page_id long, url string, rule string, host string")
