@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, tokens_of
+from .common import slices, stored, tokens_of
 
 VOCABULARY = "piece_bpe_32k.model"
 UNDETERMINED = "und"
@@ -261,19 +261,13 @@ class Scorer(dict):
         return self.model.languages[best], float(1 / np.exp(logs - logs[best]).sum())
 
 
-def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for lo in range(0, whole.num_rows, SLICE):
-            yield whole.slice(lo, SLICE)
-
-
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, lang_pred, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary's size times the languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             found = list(scorer.scores([t or "" for t in batch.column(1).to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -288,7 +282,7 @@ def kept_rows(docs: DataFrame, model: Model, least: float, text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             found = scorer.scores([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in found], pa.bool_()))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, tokens_of
+from .common import slices, stored, tokens_of
 
 VOCABULARY = "word_bpe_49k.json"
 SEQUENCE = 2048
@@ -101,7 +101,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(vocabulary).encode, np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encode(text or "") + end
