@@ -58,15 +58,19 @@ class TokenBytes(dict):
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text."""
-        words = tokens_of(text)
-        new = {w for w in words if w not in self}
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts, whose new words are learned together."""
+        cut = [tokens_of(t) for t in texts]
+        new = {w for words in cut for w in words if w not in self}
         if new:
             if len(self) + len(self.pieces) > REMEMBERED:
                 self.clear()
                 self.pieces.clear()
-                new = set(words)
+                new = {w for words in cut for w in words}
             self.learn(new)
-        return b"".join(map(self.__getitem__, words))
+        return [b"".join(map(self.__getitem__, words)) for words in cut]
 
     def learn(self, words: set[str]) -> None:
         plain = {w: _PIECE.findall(w.lower()) for w in words if _PLAIN.fullmatch(w) and "<|" not in w}
@@ -100,11 +104,11 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     """One row per piece: the id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary).encode, np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches):
+        encode, end = encoder(vocabulary).encode_all, np.array([end_id], "<u4").tobytes()
+        for batch in slices(batches, 128):
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
