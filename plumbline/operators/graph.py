@@ -159,7 +159,7 @@ def beam_search(edges: DataFrame, vectors: DataFrame, queries: DataFrame, entrie
     """(qid, id, distance, rank): the ef nearest nodes reached from the entry points (one column). All queries step together: every
     round, the unexpanded nodes among a query's best ef are expanded; the search ends when none is left or after ``rounds``."""
     out = edges.select("src", "dst").distinct()
-    v, q = vectors.select("id", "v"), F.broadcast(queries.select("qid", "q"))
+    v, q = vectors.select("id", "v"), queries.select("qid", "q")
     score = METRICS[metric]("q", "v").alias("distance")
     start = queries.select("qid").crossJoin(F.broadcast(entries.select(F.col(entries.columns[0]).alias("id")).distinct()))
     beam = start.join(v, "id").join(q, "qid").select("qid", "id", score, F.lit(False).alias("done"))

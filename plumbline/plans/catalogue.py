@@ -45,6 +45,11 @@ def query_batch(base: DataFrame, n: int = Q) -> DataFrame:
     return base.filter(F.col("id") < n).select(F.col("id").alias("qid"), F.col("v").alias("q"))
 
 
+def growing_batch(base: DataFrame) -> DataFrame:
+    """The batch of the queries without SQL, which grows with the table: query_batch and every id divisible by 100."""
+    return base.filter((F.col("id") < Q) | (F.col("id") % 100 == 0)).select(F.col("id").alias("qid"), F.col("v").alias("q"))
+
+
 def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     base = vectors(spark, sf_dir)
     return query_batch(base), base.select("id", "v")
@@ -391,7 +396,8 @@ def partitioned_build(spark, sf_dir):
 
 @query()
 def graph_search(spark, sf_dir):
-    q, base = both(spark, sf_dir)
+    base = vectors(spark, sf_dir).select("id", "v")
+    q = growing_batch(base)
     edges = graph.build_partitioned(base, DEGREE)
     hubs = topk.ranked(graph.hub_scores(edges), 8, "in_degree", "node", descending=True).select("node")
     return shown(graph.beam_search(edges, base, q, hubs, 64))
@@ -450,9 +456,9 @@ def rerank(spark, sf_dir):
 
 @query()
 def rerank_pairwise(spark, sf_dir):
-    q, base = both(spark, sf_dir)
-    q = q.filter("qid < 4")
-    near = topk.top_k_bulk(q, base, 6).join(base, "id").join(F.broadcast(q), "qid").select("qid", "id", V.cosine_distance("q", "v", "half").alias("cosine"))
+    base = vectors(spark, sf_dir).select("id", "v")
+    q = growing_batch(base)
+    near = topk.top_k_bulk(q, base, 6).join(base, "id").join(q, "qid").select("qid", "id", V.cosine_distance("q", "v", "half").alias("cosine"))
     return topology.rerank_pairwise(cut(near), edges_of(spark, sf_dir)).select("qid", "id", r6("mean_d").alias("mean_d"))
 
 
@@ -472,12 +478,13 @@ def persistence(spark, sf_dir):
 
 @query()
 def d_total_persistence(spark, sf_dir):
-    q, base = both(spark, sf_dir)
+    base = vectors(spark, sf_dir).select("id", "v")
+    q = growing_batch(base)
     edges = edges_of(spark, sf_dir)
     inside = cut(topology.cap_edges(topology.ego_single(edges, base.select("id"))[1]))
     score = topology.diagram_stats(topology.persistence(inside)).select(F.col("ego").alias("id"), "score")
     ne = inside.groupBy(F.col("ego").alias("id")).agg(F.count(F.lit(1)).alias("ne"))
-    near = topk.top_k(q, base, K).join(base, "id").join(F.broadcast(q), "qid").select("qid", "id", V.cosine_distance("q", "v", "half").alias("cosine"))
+    near = topk.top_k_bulk(q, base, K).join(base, "id").join(q, "qid").select("qid", "id", V.cosine_distance("q", "v", "half").alias("cosine"))
     df = near.join(score, "id", "left").join(ne, "id", "left").select("qid", "id", topology.d_total("cosine", F.coalesce("score", F.lit(0.0)), F.coalesce("ne", F.lit(0)), 0.7, 0.3).alias("d"))
     return df.select("qid", "id", r6("d").alias("d_total"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import vectors as V
 from plumbline.operators import bitplane, evaluate, graph, rabitq, topk, topology
 from plumbline.operators.store import VectorStore, access_predictor, batch_has_errors, combined_memory, memory_model
+from plumbline.plans import catalogue
 from plumbline.schema import CompressionError, DimensionMismatch, IndexConfig, NodeNotFound, SearchConfig
 from plumbline.sources import files
 from plumbline.streaming import commands
@@ -198,6 +199,15 @@ def test_graph_search_recall(spark, cloud):
     assert wide >= 0.9 and wide >= narrow - 0.05
 
 
+@pytest.mark.parametrize("name", ["graph_search", "rerank_pairwise", "d_total_persistence"])
+def test_batch_grows_with_the_table(spark, tmp_path, name):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=64).tolist(), "x") for i in range(210)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalogue.QUERIES[name](spark, str(tmp_path)).select("qid").distinct().collect()
+    assert {r["qid"] for r in got} == {*range(20), 100, 200}
+
+
 def test_remove_repair(spark):
     edges = spark.createDataFrame([(0, 1, 1.0), (2, 1, 1.0), (1, 0, 1.0), (2, 3, 1.0)], EDGES)
     base = spark.createDataFrame([(i, [float(i)]) for i in range(4)], "id long, v array<float>")
