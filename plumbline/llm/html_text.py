@@ -1,18 +1,19 @@
 """Operator 9: HTML extraction by wrapper induction.
 
 Pages become small DOM trees whose nodes are block elements. A wrapper is induced
-for each host from at most ``SAMPLE`` of its pages: the trees are aligned with the
-smallest of them by simple tree matching, and a node is template if its text is
-the same in nearly all aligned pages; other nodes are slots, whose text varies.
-Every page of the host is aligned with the wrapper and loses the template's text.
-What is left is content if it isn't inside an element that holds no main text by
-its kind (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments) and, where the page has an article or main element, is
-inside one.
-
-Pages with the same text don't tell template from content: a host's sample counts
-each text once, and hosts with fewer than ``LEAST`` different sampled texts get no
-template.
+for each host from all its pages: a block is known by its path, the labels of the
+elements around it, and its text, and the pages of the host that hold it are
+counted. A block is template if nearly all pages of one layout hold it, or nearly
+all of those that have a block at its path, if these are at least half of the
+host's pages. Pages are of one layout if they have the same elements down to depth
+``SKELETON``. Every page of the host loses the template's blocks. What is left is
+content if it isn't inside an element that holds no main text by its kind (menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
+comments) and, where the page has an article or main element, is inside one.
+
+Pages with the same text don't tell template from content: a host's pages count
+once for each text, and layouts and paths with fewer than ``LEAST`` different
+texts give no template.
 
 Blocks: block elements begin and end blocks, line breaks are white space. White
 space of any kind in a block becomes one space.
@@ -25,21 +26,23 @@ empty table; other columns are ignored.
 from __future__ import annotations
 
 import json
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, slices, stored
 
-#: Pages that a host's wrapper is learned from, different texts it takes, and the share of them in which a template's text is the same.
-SAMPLE, LEAST, CONSTANT = 8, 4, 0.9
-#: Wrappers are learned from trees up to this depth, which bounds the matching's recursion.
-DEEP = 300
+#: Different texts a template takes, and the share of the pages in which its text is the same.
+LEAST, CONSTANT = 4, 0.9
+#: A page's layout is the set of its elements down to this depth; html is at depth 1, body at 2.
+SKELETON = 3
 #: Up to so many bytes of wrappers are broadcast; more are joined.
 WRAPPERS_BROADCAST_BYTES = 16_000_000
 
@@ -143,12 +146,16 @@ def leaves(node: Node) -> Iterator[Node]:
         todo.extend(reversed(node.children))
 
 
-def page_text(root: Node, template: set[int] = frozenset()) -> str:
-    """The main text; template holds the ids of leaves that are no content."""
+def text_leaves(root: Node, template: set[int] = frozenset()) -> list[Node]:
+    """The leaves of the main text; template holds the ids of leaves that are no content."""
     blocks = [x for x in leaves(root) if not x.drop and id(x) not in template]
     if any(x.main for x in leaves(root)):
         blocks = [x for x in blocks if x.main]
-    return "\n".join(x.parts[0] for x in blocks)
+    return blocks
+
+
+def page_text(root: Node, template: set[int] = frozenset()) -> str:
+    return "\n".join(x.parts[0] for x in text_leaves(root, template))
 
 
 class Matcher:
@@ -198,48 +205,48 @@ class Matcher:
                     todo.append((a.children[i], b.children[j]))
 
 
-def _dump(node: Node, constant: set[int]) -> list:
-    return [node.label, node.parts[0] if id(node) in constant else None, [_dump(c, constant) for c in node.children]]
-
-
-def _load(saved: list) -> Node:
-    node = Node(saved[0])
-    node.parts = [saved[1]] if saved[1] is not None else []
-    node.children = [_load(c) for c in saved[2]]
-    return node
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def size(node: Node) -> int:
-    return 1 + sum(map(size, node.children))
+def keyed(root: Node, skeleton: set[int] | None = None) -> Iterator[tuple[Node, int, int]]:
+    """The text leaves, each with the hash of its path and that of its path and text; the paths down to depth SKELETON are added to skeleton."""
+    todo = [(root, 0, 0)]
+    while todo:
+        node, above, level = todo.pop()
+        if node.label == "#text":
+            yield node, _signed(above), _signed(xxhash.xxh3_64_intdigest(node.parts[0].encode("utf-8", "surrogatepass"), above))
+            continue
+        path = xxhash.xxh3_64_intdigest(node.label.encode("utf-8", "surrogatepass"), above)
+        if skeleton is not None and level <= SKELETON:
+            skeleton.add(path)
+        todo.extend((c, path, level + 1) for c in reversed(node.children))
 
 
-def depth(node: Node) -> int:
-    found, level = 0, [node]
-    while level:
-        found, level = found + 1, [c for n in level for c in n.children]
-    return found
+def marks(html: str) -> tuple[bytes, int, dict[int, int]]:
+    """What a page tells of its host's template: the hashes of its text and of its layout, and its text's blocks with their paths."""
+    root, skeleton = parse(html), set()
+    text = page_text(root)
+    used = {id(x) for x in text_leaves(root)}
+    blocks = {key: path for leaf, path, key in keyed(root, skeleton) if id(leaf) in used}
+    layout = xxhash.xxh3_64_intdigest(b"".join(x.to_bytes(8, "little") for x in sorted(skeleton)))
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")), _signed(layout), dict(sorted(blocks.items()))
 
 
 def induce(pages: list[str]) -> str | None:
-    """The wrapper of same-host pages as JSON; None if they show no template. Trees deeper than DEEP teach nothing."""
-    different: dict[str, Node] = {}
-    for html in pages:
-        tree = parse(html)
-        if depth(tree) <= DEEP:
-            different.setdefault(page_text(tree), tree)
-    if len(different) < LEAST:
-        return None
-    trees = sorted(different.values(), key=size)
-    base, same = trees[0], {}
-    for other in trees[1:]:
-        for a, b in Matcher().pairs(base, other):
-            if a.label == "#text" and a.parts == b.parts:
-                same[id(a)] = same.get(id(a), 0) + 1
-    constant = {k for k, n in same.items() if n + 1 >= CONSTANT * len(trees)}
-    return json.dumps(_dump(base, constant), ensure_ascii=False) if constant else None
-
-
-def text_of(html: str, wrapper: str | None, loaded: dict[str, Node]) -> str:
+    """The wrapper of same-host pages, a JSON list of its blocks' hashes; None if they show no template. extract() does the same for all hosts at once."""
+    different: dict[bytes, tuple[int, dict[int, int]]] = {}
+    for text, layout, blocks in map(marks, pages):
+        one = (layout, blocks)
+        different[text] = min(different.get(text, one), one, key=lambda x: (x[0], list(x[1])))
+    layouts, paths = Counter(y for y, _ in different.values()), Counter(p for _, b in different.values() for p in set(b.values()))
+    in_layout, in_host = Counter((y, k) for y, b in different.values() for k in b), Counter(kp for _, b in different.values() for kp in b.items())
+    found = {k for (y, k), n in in_layout.items() if layouts[y] >= LEAST and n >= CONSTANT * layouts[y]}
+    found |= {k for (k, p), n in in_host.items() if paths[p] >= LEAST and 2 * paths[p] >= len(different) and n >= CONSTANT * paths[p]}
+    return json.dumps(sorted(found)) if found else None
+
+
+def text_of(html: str, wrapper: str | None, loaded: dict[str, frozenset[int]]) -> str:
     """A page's main text without what its host's wrapper knows as template."""
     root = parse(html)
     if not wrapper:
@@ -247,9 +254,36 @@ def text_of(html: str, wrapper: str | None, loaded: dict[str, Node]) -> str:
     if wrapper not in loaded:
         if len(loaded) > 256:
             loaded.clear()
-        loaded[wrapper] = _load(json.loads(wrapper))
-    template = {id(b) for a, b in Matcher().pairs(loaded[wrapper], root) if a.label == "#text" and a.parts and a.parts == b.parts}
-    return page_text(root, template)
+        loaded[wrapper] = frozenset(json.loads(wrapper))
+    known = loaded[wrapper]
+    return page_text(root, {id(leaf) for leaf, _, key in keyed(root) if key in known})
+
+
+def templates(rows: DataFrame) -> DataFrame:
+    """(host, wrapper) of the hosts of rows (host, html) that show a template."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.int64())
+        for batch in slices(batches):
+            found = [marks(html) for html in batch.column(1).to_pylist()]
+            columns = [pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int64()), pa.array([list(f[2]) for f in found], longs), pa.array([list(f[2].values()) for f in found], longs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["host", "text", "layout", "keys", "paths"])
+
+    marked = rows.filter("html is not null").select("host", "html").mapInArrow(mark, "host string, text binary, layout long, keys array<long>, paths array<long>")
+    pages = stored(marked.groupBy("host", "text").agg(F.min(F.struct("layout", "keys", "paths")).alias("m")).select("host", "m.*"), "marks")
+
+    n = F.count(F.lit(1))
+    least = math.ceil(CONSTANT * LEAST)  # what is on fewer pages is no template
+    hosts = pages.groupBy("host").agg(n.alias("pages"))
+    layouts = pages.groupBy("host", "layout").agg(n.alias("of")).filter(F.col("of") >= LEAST)
+    paths = pages.select("host", F.explode(F.array_distinct("paths")).alias("path")).groupBy("host", "path").agg(n.alias("of")).filter(F.col("of") >= LEAST)
+    blocks = pages.select("host", "layout", F.explode(F.arrays_zip("keys", "paths")).alias("b")).select("host", "layout", F.col("b.keys").alias("key"), F.col("b.paths").alias("path"))
+    counts = stored(blocks.groupBy("host", "layout", "key", "path").agg(n.alias("n")), "blocks")
+    in_layout = counts.filter(F.col("n") >= least).join(layouts, ["host", "layout"]).filter(F.col("n") >= CONSTANT * F.col("of"))
+    in_host = counts.groupBy("host", "key", "path").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).join(paths, ["host", "path"]).filter(F.col("n") >= CONSTANT * F.col("of"))
+    in_host = in_host.join(hosts, "host").filter(2 * F.col("of") >= F.col("pages"))
+    found = in_layout.select("host", "key").unionByName(in_host.select("host", "key"))
+    return found.groupBy("host").agg(F.to_json(F.array_sort(F.collect_set("key"))).alias("wrapper"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -258,23 +292,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host = F.coalesce(ascii_lower(F.regexp_extract(F.col(url_col), "://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
 
-    # a host's sample: of each of SAMPLE hashed groups of its pages, the page with the least hash
-    h = F.xxhash64(F.lit(9), F.col("page_id"))
-    least = rows.filter("html is not null").select("host", "page_id", h.alias("h")).groupBy("host", F.pmod("h", F.lit(SAMPLE)).alias("g")).agg(F.min(F.struct("h", "page_id")).alias("m"))
-    chosen = stored(least.select("host", F.col("m.page_id").alias("page_id")), "sample")
-    few = chosen.count() <= 200_000
-    sample = rows.join(F.broadcast(chosen) if few else chosen, ["host", "page_id"], "left_semi").select("host", "html")
-
-    def wrap(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = induce(sorted(set(pdf["html"])))
-        return pd.DataFrame({"host": [pdf["host"].iat[0]], "wrapper": [found]})[: 1 if found else 0]
-
-    wrappers = stored(sample.groupBy("host").applyInPandas(wrap, "host string, wrapper string"), "wrappers")
+    wrappers = stored(templates(rows), "wrappers")
     total = wrappers.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("host")), F.lit(0)).alias("b")).first()["b"]
     rows = rows.join(F.broadcast(wrappers) if total <= WRAPPERS_BROADCAST_BYTES else wrappers, "host", "left").select("page_id", "url", "html", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded: dict[str, Node] = {}
+        loaded: dict[str, frozenset[int]] = {}
         for batch in batches:
             texts = [text_of(html or "", wrapper, loaded) for html, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])

@@ -307,6 +307,33 @@ def test_html(spark):
     assert html_text.extract(df).count() == len(pages) and html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_wrapper_counts_all_pages(spark):
+    box = lambda kind, *lines: f"<div class={kind}>" + "".join(f"<p>{x}</p>" for x in lines) + "</div>"
+    body = lambda *parts: "<html><body>" + "".join(parts) + "</body></html>"
+    rows, want = [], {}
+
+    def add(host, html, text):
+        want[len(rows)] = text
+        rows.append((len(rows), f"http://{host}/{len(rows)}", html))
+
+    for i in range(80):  # two layouts
+        add("two", body(box("x", "Welcome", f"two {i}", "Bye")) if i % 2 else body(box("y", "Hello"), box("z", f"two {i}")), f"two {i}")
+    for i in range(80):  # a line on four pages of five
+        add("most", body(box("x", f"most {i}"), box("line", "We moved") if i % 5 else ""), f"most {i}")
+    for host in range(12):  # small hosts
+        for i in range(4):
+            add(f"small{host}", body(box("x", f"Host {host}"), box("z", f"small {host} {i}")), f"small {host} {i}")
+    for i in range(40):  # a line on a few pages is content
+        add("few", body(box("x", f"few {i}", "Quoted") if i < 8 else box("x", f"few {i}")), f"few {i}\nQuoted" if i < 8 else f"few {i}")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert got == want
+    for host in ("two", "most", "small3", "few"):  # the plain way finds the same
+        own = [r for r in rows if r[1].startswith(f"http://{host}/")]
+        wrapper = html_text.induce([r[2] for r in own])
+        assert all(html_text.text_of(r[2], wrapper, {}) == want[r[0]] for r in own)
+
+
 def slow_base(text):
     w = WORD.findall(text or "")
     windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
