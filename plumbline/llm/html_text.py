@@ -9,7 +9,9 @@ host's pages. Pages are of one layout if they have the same elements down to dep
 ``SKELETON``. Every page of the host loses the template's blocks. What is left is
 content if it isn't inside an element that holds no main text by its kind (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments) and, where the page has an article or main element, is inside one.
+comments) and, where the page has an article or main element outside of those, is
+inside one. In an article, a heading's id says nothing, and a section's only if it
+names reader comments or teasers.
 
 Pages with the same text don't tell template from content: a host's pages count
 once for each text, and layouts and paths with fewer than ``LEAST`` different
@@ -61,12 +63,20 @@ NO_MAIN = re.compile(
     r"share|sharing|social|related|recommend\w*|widget|toolbar|copyright|complementary|contentinfo|search|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Those that mark a section of an article as reader comments or teasers by its id, too.
+READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|respond|replies|related|recommend\w*|newsletter|subscribe|share|sharing|social)(?:$|[\s_-])", re.I)
 _CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW})\b[^>]*+>.*?(?:</(?P=raw)\s*+>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[a-zA-Z/!?][^>]*+(?:>|$)",
+    rf"<!--.*?(?:-->|$)|<(?:svg|math)\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*/>|<(?P<raw>{RAW})\b[^>]*+>.*?(?:</(?P=raw)\s*+>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[a-zA-Z/!?][^>]*+(?:>|$)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+
+
+def _names(attrs: str, ids: bool = True) -> list[str]:
+    """The values of an element's class, id and role."""
+    return ["".join(values) for name, *values in _ATTR.findall(attrs or "") if ids or name.lower() != "id"]
 
 
 class Node:
@@ -124,8 +134,12 @@ def parse(html: str) -> Node:
         if tag in VOID:
             continue
         attrs = m["attrs"]
-        names = " ".join("".join(x) for x in _ATTR.findall(attrs)) if attrs else ""
-        drop = node.drop or tag in DROPPED or (tag == "header" and not node.main) or (tag not in ("html", "body", "article", "main") and bool(names) and bool(NO_MAIN.search(names)))
+        names = " ".join(_names(attrs))
+        marked = names
+        if node.main and (tag in HEADINGS or (tag == "section" and not READERS.search(names))):
+            marked = " ".join(_names(attrs, False))
+        named = tag not in ("html", "body", "article", "main") and NO_MAIN.search(marked)
+        drop = node.drop or tag in DROPPED or (tag == "header" and not node.main) or bool(named)
         child = Node(f"{tag}.{names}" if names else tag, drop, node.main or tag in ("article", "main"))
         node.children.append(child)
         stack.append(child)
@@ -148,10 +162,10 @@ def leaves(node: Node) -> Iterator[Node]:
 
 def text_leaves(root: Node, template: set[int] = frozenset()) -> list[Node]:
     """The leaves of the main text; template holds the ids of leaves that are no content."""
-    blocks = [x for x in leaves(root) if not x.drop and id(x) not in template]
-    if any(x.main for x in leaves(root)):
+    blocks = [x for x in leaves(root) if not x.drop]
+    if any(x.main for x in blocks):
         blocks = [x for x in blocks if x.main]
-    return blocks
+    return [x for x in blocks if id(x) not in template]
 
 
 def page_text(root: Node, template: set[int] = frozenset()) -> str:

@@ -223,6 +223,19 @@ def test_page_text():
     assert html_text.page_text(html_text.parse(deep)) == "x"
 
 
+def test_page_text_keeps_content():
+    text = lambda html: html_text.page_text(html_text.parse(html))
+    comment = "<ul><li class=comment><article class=comment-body><p>first!</p></article></li></ul>"
+    assert text(f"<div><p>body</p></div>{comment}") == "body"
+    assert text(f"<main><p>body</p></main><p>x</p>{comment}") == "body"
+    assert text('<p>a<svg class="i"/>b</p><p>c</p><math/><p>d</p>') == "ab\nc\nd"
+    assert text("<p>a<svg><path d='M0'/><g>no</g></svg>b</p>") == "ab"
+    assert text("<p>a<svg title='x/>y'>no</svg>b</p>") == "ab"
+    assert text("<p>a</p><script src=x />var b;</script><p>c</p>") == "a\nc"
+    assert text("<article><h2 id=search>Search</h2><p>trees</p><section id=login><h3 id=comments>Comments</h3><p>on style</p></section><section id=comments><p>no</p></section></article>") == "Search\ntrees\nComments\non style"
+    assert text("<h2 id=comments>Comments</h2><p>x</p>") == text("<article><h2 class=related>Related</h2><p>x</p></article>") == "x"
+
+
 def test_wrapper_finds_the_template():
     page = lambda i: f"<body><div><p>Welcome to our site</p></div><div><h1>Title {i}</h1>{''.join(f'<p>text {i} {k}</p>' for k in range(i % 4 + 1))}</div><div><p>All rights reserved</p></div></body>"
     wrapper = html_text.induce([page(i) for i in range(6)])
