@@ -113,10 +113,40 @@ def backfill(edges: DataFrame, vectors: DataFrame, m: int, alpha: float = ALPHA,
     return select_neighbors(scored, vectors, m, alpha, True, metric)
 
 
-def _linked_locally(vectors: DataFrame, plane: list[float], parts: int, m: int, block: int = 2048, overlap: int = 256) -> DataFrame:
-    """(src, dst, dist): each vector's nearest among those near it along a projection. Vectors are range-partitioned and sorted by it; a task takes them in
-    overlapping blocks of bounded size."""
-    placed = vectors.select("id", "v").withColumn("key", V.projection("v", plane)).repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id")
+#: Rows of a block of the partitioned build, and how many of the block before it takes, too.
+BLOCK, OVERLAP = 2048, 256
+#: Rounds of refinement go on while more than this share of the edges is new, but end in any case, as equal distances may swap for ever.
+NEW_SHARE, MOST_ROUNDS = 0.02, 12
+#: At most so many vectors are gathered to place a tree's cuts; where they stand moves the blocks' borders only.
+TREE_SAMPLE = 65_536
+
+
+def _cuts(sample: np.ndarray, planes: np.ndarray) -> list[list[float]]:
+    """A tree's cuts by level: the median, along the level's plane, of the sample's vectors in each cell of the level above."""
+    cell, out = np.zeros(len(sample), int), []
+    for level, plane in enumerate(planes):
+        key = sample @ plane
+        middle = [float(np.median(key[inside])) if (inside := cell == c).any() else 0.0 for c in range(2**level)]
+        out.append(middle)
+        cell = 2 * cell + (key > np.array(middle)[cell])
+    return out
+
+
+def _linked_locally(vectors: DataFrame, planes: np.ndarray, cuts: list[list[float]], plane: np.ndarray, parts: int, m: int, block: int = BLOCK, overlap: int = OVERLAP) -> DataFrame:
+    """(src, dst, dist): each vector's nearest among those in its cell of the tree and near it along a projection. Vectors are range-partitioned and sorted by
+    both; a task takes them in overlapping blocks of bounded size."""
+
+    def place(frames):
+        for pdf in frames:
+            x = np.array(pdf["v"].to_list(), float).reshape(len(pdf), len(plane))
+            cell = np.zeros(len(pdf), int)
+            for level_plane, middle in zip(planes, cuts, strict=True):
+                cell = 2 * cell + (x @ level_plane > np.array(middle)[cell])
+            yield pdf.assign(cell=cell, key=x @ plane)
+
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
+    placed = vectors.select("id", "v").mapInPandas(place, f"id {kinds['id']}, v {kinds['v']}, cell long, key double")
+    placed = placed.repartitionByRange(parts, "cell", "key", "id").sortWithinPartitions("cell", "key", "id")
 
     def run(frames):
         carried = None
@@ -137,21 +167,34 @@ def _linked_locally(vectors: DataFrame, plane: list[float], parts: int, m: int,
     return placed.select("id", "v").mapInPandas(run, f"src {kind}, dst {kind}, dist double")
 
 
-def build_partitioned(vectors: DataFrame, m: int = 16, parts: int = 8, projections: int = 3, rounds: int = 2, seed: int = 42, metric: str = "l2") -> DataFrame:
-    """(src, dst, dist): an approximate graph with at most 2 * m edges a node, built where the data lie: linked locally along several random projections, then
-    refined by rounds of backfill over the edges and, for each node, its m nearest reverse edges. No node gathers more than its candidates."""
-    dim = vectors.select(F.max(F.size("v"))).first()[0] or 1
+def build_partitioned(vectors: DataFrame, m: int = 16, parts: int | None = None, projections: int | None = None, rounds: int | None = None, seed: int = 42, metric: str = "l2") -> DataFrame:
+    """(src, dst, dist): an approximate graph with at most 2 * m edges a node, built where the data lie: linked locally in the cells of several random trees, then
+    refined by rounds of backfill over the edges and, for each node, its m nearest reverse edges. No node gathers more than its candidates. Unless they are given,
+    the partitions grow with the number of vectors, the trees with its logarithm, and the rounds go on, two at least, until few edges are new."""
+    size = vectors.select(F.max(F.size("v")), F.count(F.lit(1))).first()
+    dim, n = size[0] or 1, size[1]
+    levels = max(0, math.ceil(math.log2(max(1, n) / (BLOCK // 2))))
+    projections = projections or 3 + 2 * levels
+    parts = parts or max(8, n // (8 * BLOCK))
+    depth = min(levels, 12)  # the driver holds 2 ** depth cuts
+    sample = np.zeros((0, dim))
+    if depth:
+        rows = vectors.select("v").orderBy(F.xxhash64("id", F.lit(seed))).limit(TREE_SAMPLE).toArrow()
+        sample = np.array(rows.column("v").to_pylist(), float)
     rng, edges = np.random.default_rng(seed), None
     for _ in range(projections):
         plane = rng.normal(size=dim)
-        found = _linked_locally(vectors, (plane / np.linalg.norm(plane)).tolist(), parts, m)
+        planes = rng.normal(size=(depth, dim))
+        found = _linked_locally(vectors, planes, _cuts(sample, planes), plane / np.linalg.norm(plane), parts, m)
         edges = found if edges is None else edges.unionByName(found)
     nearest = W.partitionBy("src").orderBy("dist", "dst")
     edges = edges.groupBy("src", "dst").agg(F.min("dist").alias("dist"))
     edges = cut(edges.withColumn("rn", F.row_number().over(nearest)).filter(F.col("rn") <= m).drop("rn"))
-    for _ in range(rounds):
+    for done in range(1, (rounds if rounds is not None else MOST_ROUNDS) + 1):
         back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist").withColumn("rn", F.row_number().over(nearest)).filter(F.col("rn") <= m).drop("rn")
-        edges = cut(backfill(edges.unionByName(back), vectors, 2 * m, metric=metric))
+        before, edges = edges, cut(backfill(edges.unionByName(back), vectors, 2 * m, metric=metric))
+        if rounds is None and done >= 2 and edges.join(before.select("src", "dst"), ["src", "dst"], "left_anti").count() <= NEW_SHARE * edges.count():
+            break
     return edges
 
 

@@ -199,6 +199,19 @@ def test_graph_search_recall(spark, cloud):
     assert wide >= 0.9 and wide >= narrow - 0.05
 
 
+def test_partitioned_build_links_more_vectors(spark):
+    rng = np.random.default_rng(0)
+    v = (rng.normal(size=(100, 64))[rng.integers(0, 100, 12_000)] + rng.normal(size=(12_000, 64)) * 0.5).astype(np.float32)
+    base = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "id long, v array<float>").repartition(4).cache()
+    q = rng.choice(len(v), 200, replace=False)
+    far = (v[q] ** 2).sum(1)[:, None] + (v**2).sum(1)[None] - 2 * v[q] @ v.T
+    far[np.arange(len(q)), q] = np.inf
+    true = {int(x): set(t.tolist()) for x, t in zip(q, np.argsort(far, axis=1)[:, :16])}
+    found = graph.build_partitioned(base, 16, rounds=0).filter(F.col("src").isin(list(true))).collect()
+    recall = sum(r["dst"] in true[r["src"]] for r in found) / (16 * len(q))
+    assert recall >= 0.95, recall
+
+
 @pytest.mark.parametrize("name", ["graph_search", "rerank_pairwise", "d_total_persistence"])
 def test_batch_grows_with_the_table(spark, tmp_path, name):
     rng = np.random.default_rng(4)
