@@ -351,8 +351,8 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int, broadcast_rows: int = 2_000_000) -> DataFrame:
     """(label, cls, data) with the full sets of the wanted classes (node, label, first), one of each class."""
     few = wanted.count() <= broadcast_rows  # at most so many rows of 60 bytes
-    ids = wanted.select(F.col("first").alias("doc_id")).distinct()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    ids = wanted.select(F.col("first").alias("_first")).distinct()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()

@@ -334,6 +334,13 @@ def test_html_wrapper_counts_all_pages(spark):
         assert all(html_text.text_of(r[2], wrapper, {}) == want[r[0]] for r in own)
 
 
+def test_near_copy_with_a_null_id(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (None, " ".join([*words[:-1], "other"])), (2, "something else " * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in neardup.kept_rows(df).orderBy("doc_id").collect()] == [1, 2]
+
+
 def slow_base(text):
     w = WORD.findall(text or "")
     windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
