@@ -12,10 +12,12 @@ import json
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import vectors as V
+from plumbline.operators.topk import Distances, in_passes, matrix_of, top_k_by
 from plumbline.schema import CompressionError
 
 SEED, ROUNDS = 42, 3
@@ -31,12 +33,22 @@ def hadamard(n: int) -> np.ndarray:
     return h
 
 
+def fast_hadamard(x: np.ndarray) -> np.ndarray:
+    """hadamard(n) @ x along the first axis, by halving: n log n additions."""
+    x, width = x.copy(), 1
+    while width < len(x):
+        y = x.reshape(-1, 2, width, *x.shape[1:])
+        x = np.stack([y[:, 0] + y[:, 1], y[:, 0] - y[:, 1]], 1).reshape(x.shape)
+        width *= 2
+    return x
+
+
 def rotation(dim: int, seed: int = SEED, rounds: int = ROUNDS) -> list[list[float]]:
     """Rounds of seeded sign flips and normalised Hadamard transforms as one matrix, padded to a power of 2 and cut back to dim."""
     padded = 1 << max(0, dim - 1).bit_length()
-    rng, h, m = np.random.default_rng(seed), hadamard(padded) / math.sqrt(padded), np.eye(padded)
+    rng, m = np.random.default_rng(seed), np.eye(padded)
     for _ in range(rounds):
-        m = h @ (rng.choice([-1.0, 1.0], padded)[:, None] * m)
+        m = fast_hadamard(rng.choice([-1.0, 1.0], padded)[:, None] * m) / math.sqrt(padded)
     return m[:dim, :dim].tolist()
 
 
@@ -91,16 +103,64 @@ def encode_queries(queries: DataFrame, center: DataFrame, m: list[list[float]])
     return df.select("qid", rotate("r", m).alias("y"), V.dot("r", "r").alias("sqr_y")).withColumn("q_norm", F.sqrt("sqr_y"))
 
 
-def estimates(codes: DataFrame, queries: DataFrame, bits: int, dim: int, exclude_self: bool = True) -> DataFrame:
-    """(qid, id, estimate, lower_bound) of every encoded query and code; the query batch is the broadcast side."""
-    df = F.broadcast(queries).crossJoin(codes)
-    if exclude_self:
-        df = df.filter(F.col("qid") != F.col("id"))
-    est = F.col("sqr_norm") + F.col("sqr_y") - 2 * F.col("norm") / (F.col("x0") * math.sqrt(dim)) * V.dot(reconstructed("code", bits), "y")
-    df = df.select("qid", "id", est.alias("raw"), (F.col("error_bound") * F.col("q_norm")).alias("off"))
+def raw_estimate(dim: int) -> Column:
+    """The raw estimate, over columns of a code with its values (recon) and of an encoded query."""
+    return F.col("sqr_norm") + F.col("sqr_y") - 2 * F.col("norm") / (F.col("x0") * math.sqrt(dim)) * V.dot("recon", "y")
+
+
+def _scored(df: DataFrame, dim: int) -> DataFrame:
+    df = df.select("qid", "id", raw_estimate(dim).alias("raw"), (F.col("error_bound") * F.col("q_norm")).alias("off"))
     return df.select("qid", "id", F.greatest("raw", F.lit(0.0)).alias("estimate"), (F.col("raw") - F.col("off")).alias("lower_bound"))
 
 
+def estimates(codes: DataFrame, queries: DataFrame, bits: int, dim: int, exclude_self: bool = True) -> DataFrame:
+    """(qid, id, estimate, lower_bound) of every encoded query and code, whose values are made once; the query batch is the broadcast side, in passes of a
+    checked size."""
+    rows, out = codes.withColumn("recon", reconstructed("code", bits)).drop("code"), None
+    for part in in_passes(queries, 8 * F.size("y") + 40):
+        df = F.broadcast(part).crossJoin(rows)
+        df = _scored(df.filter(F.col("qid") != F.col("id")) if exclude_self else df, dim)
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def estimates_of(pairs: DataFrame, codes: DataFrame, queries: DataFrame, bits: int, dim: int) -> DataFrame:
+    """(qid, id, estimate, lower_bound) of given pairs (qid, id) only."""
+    rows = codes.withColumn("recon", reconstructed("code", bits)).drop("code")
+    return _scored(pairs.select("qid", "id").join(rows, "id").join(queries, "qid"), dim)
+
+
+class Estimates(Distances):
+    """Estimates of encoded queries (y, then sqr_y) to codes, for top_k_by."""
+
+    def __init__(self, bits: int, dim: int):
+        self.bits, self.dim, self.half = bits, dim, _half(bits)
+
+    def rows(self, batch: pa.RecordBatch) -> tuple:
+        code = matrix_of(batch.column(1), batch.num_rows)
+        values = 2.0 * code - 1.0 if self.bits == 1 else (code - self.half) / self.half
+        sqr, norm, x0 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+        return values, sqr, 2 * norm / (x0 * math.sqrt(self.dim))
+
+    def near(self, q: np.ndarray, rows: tuple) -> np.ndarray:
+        values, sqr, factor = rows
+        return np.maximum(q[:, -1:] + sqr[None] - factor[None] * (q[:, :-1] @ values.T), 0.0)
+
+    def slack(self, q: np.ndarray, rows: tuple) -> np.ndarray:
+        return 1e-11 * (1 + q[:, -1] + rows[1].max(initial=0.0))
+
+    def exact(self, q: np.ndarray, rows: tuple, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+        values, sqr, factor = rows
+        return np.maximum(q[at, -1] + sqr[of] - factor[of] * (q[at, :-1] * values[of]).sum(1), 0.0)
+
+
+def estimated_top_k(codes: DataFrame, queries: DataFrame, k: int, bits: int, dim: int, exclude_self: bool = True) -> DataFrame:
+    """(qid, id, estimate, rank): the k codes with the least estimates, by matrix products; queries as encode_queries gives them."""
+    q = queries.select("qid", F.concat("y", F.array("sqr_y")).alias("q"))
+    rows = codes.select("id", "code", "sqr_norm", "norm", "x0")
+    return top_k_by(q, rows, k, Estimates(bits, dim), exclude_self).withColumnRenamed("distance", "estimate")
+
+
 def planes(code: Column | str, bits: int) -> Column:
     """A code as bit planes of 64-bit words, plane after plane."""
     code = F.col(code) if isinstance(code, str) else code
