@@ -11,22 +11,36 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import vectors as V
-from plumbline.operators.topk import METRICS, top_k_bulk
+from plumbline.operators.topk import METRICS, ranked, top_k_bulk, within
 from plumbline.plans.cutting import cut
 
 ALPHA = 1.2
+#: In-neighbours that a removed node offers to its others.
+OFFERED = 1024
 
 
-def knn_graph(vectors: DataFrame, k: int = 16, metric: str = "l2", bulk: bool = True) -> DataFrame:
+def knn_graph(vectors: DataFrame, k: int = 16, metric: str = "l2") -> DataFrame:
     """(src, dst, dist, rank): each vector's exact k nearest others. The vectors are taken in passes of a bounded size as queries."""
     queries = vectors.select(F.col("id").alias("qid"), F.col("v").alias("q"))
-    if bulk:
-        found = top_k_bulk(queries, vectors, k, metric)
-    else:
-        from plumbline.operators.topk import top_k
-
-        found = top_k(queries, vectors, k, metric)
-    return found.select(F.col("qid").alias("src"), F.col("id").alias("dst"), F.col("distance").alias("dist"), "rank")
+    return top_k_bulk(queries, vectors, k, metric).select(F.col("qid").alias("src"), F.col("id").alias("dst"), F.col("distance").alias("dist"), "rank")
+
+
+def knn_changes(edges: DataFrame, before: DataFrame, now: DataFrame, k: int, metric: str = "l2") -> tuple[DataFrame, DataFrame]:
+    """The graph (src, dst, dist, rank) of knn_graph for the vectors of now, from that for the vectors before (id, v), and the nodes (id) whose edges are others.
+    Only new nodes, and those that have lost an edge, are compared with all; the rest is compared with the new ones alone."""
+    added, gone = now.join(before.select("id"), "id", "left_anti"), before.select("id").join(now.select("id"), "id", "left_anti")
+    left = edges.select("src", "dst", "dist").join(gone.withColumnRenamed("id", "src"), "src", "left_anti")
+    lost = cut(left.join(gone.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct())
+    anew = cut(now.join(lost, "id", "left_semi").unionByName(added))
+    full = top_k_bulk(anew.select(F.col("id").alias("qid"), F.col("v").alias("q")), now, k, metric).select(F.col("qid").alias("src"), F.col("id").alias("dst"), F.col("distance").alias("dist"))
+    rest = left.join(anew.select(F.col("id").alias("src")), "src", "left_anti")
+    held = now.join(anew.select("id"), "id", "left_anti")
+    worst = rest.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("far"))
+    limits = held.join(worst, "id", "left").select("id", "v", F.when(F.col("n") >= k, F.col("far")).alias("limit"))
+    near = within(added.select(F.col("id").alias("qid"), F.col("v").alias("q")), limits, metric).select(F.col("id").alias("src"), F.col("qid").alias("dst"), F.col("distance").alias("dist"))
+    near = cut(near)
+    new = cut(ranked(full.unionByName(rest).unionByName(near), k, "dist", "dst", "src"))
+    return new.select("src", "dst", "dist", "rank"), anew.select("id").unionByName(near.select(F.col("src").alias("id"))).distinct()
 
 
 def level(node: Column, m: int = 16) -> Column:
@@ -58,17 +72,20 @@ def khop(edges: DataFrame, starts: DataFrame, hops: int, with_start: bool = Fals
 
 def remove_nodes(edges: DataFrame, vectors: DataFrame, removed: DataFrame, max_degree: int, metric: str = "l2") -> DataFrame:
     """(src, dst, dist) without the removed nodes (one column id). A node that loses an edge is linked with the lost nodes' other
-    in-neighbours, the nearest first, while it has fewer than max_degree edges."""
+    in-neighbours, the nearest first, while it has fewer than max_degree edges. A lost node offers its OFFERED nearest in-neighbours, so a hub of many edges
+    makes no more than so many pairs for each."""
     gone = removed.select(F.col(removed.columns[0]).alias("gone")).distinct()
-    lost = edges.join(gone, F.col("dst") == F.col("gone"), "left_semi").join(gone, F.col("src") == F.col("gone"), "left_anti").select("src", F.col("dst").alias("lost"))
+    lost = edges.join(gone, F.col("dst") == F.col("gone"), "left_semi").join(gone, F.col("src") == F.col("gone"), "left_anti").select("src", F.col("dst").alias("lost"), "dist")
     left = edges.select("src", "dst", "dist").join(gone, F.col("dst") == F.col("gone"), "left_anti").join(gone, F.col("src") == F.col("gone"), "left_anti")
-    other = lost.select(F.col("src").alias("dst"), "lost")
+    place = F.row_number().over(W.partitionBy("lost").orderBy("dist", "src"))
+    other = lost.withColumn("place", place).filter(F.col("place") <= OFFERED).select(F.col("src").alias("dst"), "lost")
+    lost = lost.select("src", "lost")
     wanted = lost.join(other, "lost").filter("src != dst").select("src", "dst").distinct().join(left.select("src", "dst"), ["src", "dst"], "left_anti")
     v = vectors.select("id", "v")
     scored = wanted.join(v.withColumnsRenamed({"id": "src", "v": "q"}), "src").join(v.withColumnRenamed("id", "dst"), "dst").select("src", "dst", METRICS[metric]("q", "v").alias("dist"))
     degree = left.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    ranked = scored.withColumn("rn", F.row_number().over(W.partitionBy("src").orderBy("dist", "dst"))).join(degree, "src", "left")
-    return left.unionByName(ranked.filter(F.col("rn") + F.coalesce("degree", F.lit(0)) <= max_degree).select("src", "dst", "dist"))
+    placed = scored.withColumn("rn", F.row_number().over(W.partitionBy("src").orderBy("dist", "dst"))).join(degree, "src", "left")
+    return left.unionByName(placed.filter(F.col("rn") + F.coalesce("degree", F.lit(0)) <= max_degree).select("src", "dst", "dist"))
 
 
 def _spread(v: np.ndarray, d: np.ndarray, m: int, alpha: float, fill: bool, metric: str) -> list[int]:
@@ -89,10 +106,9 @@ def _spread(v: np.ndarray, d: np.ndarray, m: int, alpha: float, fill: bool, metr
     return sorted(chosen + passed[: m - len(chosen)]) if fill else chosen
 
 
-def select_neighbors(candidates: DataFrame, vectors: DataFrame, m: int, alpha: float = ALPHA, fill: bool = True, metric: str = "l2", most: int = 512) -> DataFrame:
-    """(src, dst, dist): diverse neighbours of each src from candidates (src, dst, dist). A src has at most ``most`` candidates, the nearest."""
-    near = candidates.withColumn("rn", F.row_number().over(W.partitionBy("src").orderBy("dist", "dst"))).filter(F.col("rn") <= most)
-    rows = near.join(vectors.select(F.col("id").alias("dst"), "v"), "dst").select("src", "dst", "dist", "v")
+def select_neighbors(candidates: DataFrame, vectors: DataFrame, m: int, alpha: float = ALPHA, fill: bool = True, metric: str = "l2") -> DataFrame:
+    """(src, dst, dist): diverse neighbours of each src from its candidates (src, dst, dist), of which a task holds one src's."""
+    rows = candidates.select("src", "dst", "dist").join(vectors.select(F.col("id").alias("dst"), "v"), "dst").select("src", "dst", "dist", "v")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["dist", "dst"])
@@ -198,27 +214,91 @@ def build_partitioned(vectors: DataFrame, m: int = 16, parts: int | None = None,
     return edges
 
 
-def beam_search(edges: DataFrame, vectors: DataFrame, queries: DataFrame, entries: DataFrame, ef: int, rounds: int = 20, metric: str = "l2") -> DataFrame:
-    """(qid, id, distance, rank): the ef nearest nodes reached from the entry points (one column). All queries step together: every
-    round, the unexpanded nodes among a query's best ef are expanded; the search ends when none is left or after ``rounds``."""
-    out = edges.select("src", "dst").distinct()
-    v, q = vectors.select("id", "v"), queries.select("qid", "q")
-    score = METRICS[metric]("q", "v").alias("distance")
-    start = queries.select("qid").crossJoin(F.broadcast(entries.select(F.col(entries.columns[0]).alias("id")).distinct()))
-    beam = start.join(v, "id").join(q, "qid").select("qid", "id", score, F.lit(False).alias("done"))
-    best = W.partitionBy("qid").orderBy("distance", "id")
-    beam = cut(beam.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= ef))
-    for _ in range(rounds):
-        open_ = beam.filter(~F.col("done"))
-        if not open_.limit(1).count():
-            break
-        reached = open_.join(out, F.col("id") == F.col("src")).select("qid", F.col("dst").alias("id")).distinct().join(beam.select("qid", "id"), ["qid", "id"], "left_anti")
-        new = reached.join(v, "id").join(q, "qid").select("qid", "id", score, F.lit(False).alias("done"))
+def beam_search(edges: DataFrame, nodes: DataFrame, queries: DataFrame, entries: DataFrame, ef: int, distance: Column | str = "l2", verified: Column | None = None) -> DataFrame:
+    """(qid, id, distance, rank): the ef nearest nodes reached from the entry points, (id) for all queries or (qid, id). All queries step together: every round,
+    the unexpanded nodes among a query's best ef are expanded; the search ends when none is left. distance: a metric over q and v, or a column over those of
+    queries (qid, ...) and nodes (id, ...). verified: a better distance, null where there is none; it replaces one that it differs from by more than a factor of 2."""
+    out = cut(edges.select("src", "dst").distinct())
+    score = METRICS[distance]("q", "v") if isinstance(distance, str) else distance
+    if verified is not None:
+        score = F.when((verified > 2 * score) | (2 * verified < score), verified).otherwise(score)
+    reach = lambda df: df.join(nodes, "id").join(queries, "qid").select("qid", "id", score.alias("distance"), F.lit(False).alias("done"))
+    best = F.row_number().over(W.partitionBy("qid").orderBy("distance", "id"))
+    start = entries if "qid" in entries.columns else queries.select("qid").crossJoin(F.broadcast(entries.select(F.col(entries.columns[0]).alias("id"))))
+    beam = cut(reach(start.select("qid", "id").distinct()).withColumn("rank", best).filter(F.col("rank") <= ef))
+    seen = beam.select("qid", "id")
+    while (open_ := beam.filter(~F.col("done"))).limit(1).count():
+        reached = open_.join(out, F.col("id") == F.col("src")).select("qid", F.col("dst").alias("id")).distinct().join(seen, ["qid", "id"], "left_anti")
+        reached = cut(reached)
+        seen = seen.unionByName(reached)  # of checkpointed rounds
+        new = reach(reached)
         both = beam.select("qid", "id", "distance", F.lit(True).alias("done")).unionByName(new)
-        beam = cut(both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= ef))
+        beam = cut(both.withColumn("rank", best).filter(F.col("rank") <= ef))
     return beam.select("qid", "id", "distance", F.col("rank").cast("long").alias("rank"))
 
 
+#: Up to so many vectors, graphs are built from exact neighbours; beyond, where the data lie.
+EXACT_ROWS = 100_000
+
+
+def build(vectors: DataFrame, m: int = 16, metric: str = "l2", alpha: float = ALPHA) -> DataFrame:
+    """(src, dst, dist): a diverse graph of at most 2 * m edges a node, selected from its 2 * m nearest and those that it is among the nearest of."""
+    if vectors.count() > EXACT_ROWS:
+        return build_partitioned(vectors, m, metric=metric)
+    near = cut(knn_graph(vectors, 2 * m, metric).select("src", "dst", "dist"))
+    back = near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")
+    back = back.withColumn("rn", F.row_number().over(W.partitionBy("src").orderBy("dist", "dst"))).filter(F.col("rn") <= 2 * m).drop("rn")
+    return select_neighbors(near.unionByName(back).distinct(), vectors, 2 * m, alpha, metric=metric)
+
+
+def insert(edges: DataFrame, vectors: DataFrame, new: DataFrame, m: int = 16, ef: int = 64, entries: DataFrame | None = None, metric: str = "l2", alpha: float = ALPHA) -> DataFrame:
+    """(src, dst, dist): the graph with new vectors (id, v) linked into it. Each new node's neighbours are selected from the ef nearest that a search of the graph
+    finds and from its nearest among the new ones; nodes that they lead to take the edge back, and select anew."""
+    queries = new.select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    entries = entries if entries is not None else ranked(hub_scores(edges), 8, "in_degree", "node", descending=True).select("node")
+    found = beam_search(edges, vectors.select("id", "v"), queries, entries, ef, metric).select(F.col("qid").alias("src"), F.col("id").alias("dst"), F.col("distance").alias("dist"))
+    among = knn_graph(new, 2 * m, metric).select("src", "dst", "dist")
+    every = vectors.select("id", "v").unionByName(new.select("id", "v"))
+    out = cut(select_neighbors(found.unionByName(among), every, 2 * m, alpha, metric=metric))
+    back = out.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")
+    touched = back.select("src").distinct()
+    held = edges.select("src", "dst", "dist").unionByName(out)
+    anew = select_neighbors(held.join(touched, "src", "left_semi").unionByName(back).groupBy("src", "dst").agg(F.min("dist").alias("dist")), every, 2 * m, alpha, metric=metric)
+    return held.join(touched, "src", "left_anti").unionByName(anew)
+
+
+def layers(vectors: DataFrame, m: int = 16, metric: str = "l2") -> DataFrame:
+    """(layer, src, dst, dist): a graph of all nodes at layer 0 and, at each layer above, one of the nodes whose level reaches it, with half as many edges."""
+    nodes = cut(vectors.select("id", "v").withColumn("level", level(F.col("id"), m)))
+    top = nodes.agg(F.max("level")).first()[0] or 0
+    out = build(nodes.select("id", "v"), m, metric).select(F.lit(0).alias("layer"), "src", "dst", "dist")
+    for k in range(1, top + 1):
+        some = nodes.filter(F.col("level") >= k).select("id", "v")
+        out = out.unionByName(build(some, max(1, m // 2), metric).select(F.lit(k).alias("layer"), "src", "dst", "dist"))
+    return out
+
+
+def entry_point(nodes: DataFrame) -> DataFrame:
+    """One row (id): the least node of the highest level, of nodes (id, level)."""
+    return nodes.orderBy(F.desc("level"), "id").limit(1).select("id")
+
+
+def descend(edges: DataFrame, nodes: DataFrame, queries: DataFrame, distance: Column | str = "l2") -> DataFrame:
+    """(qid, id): for each query, where greedy steps through the layers above 0 lead from the entry point; nodes: (id, level, ...), edges with layer. The upper
+    layers hold a few of the nodes."""
+    at = entry_point(nodes)
+    top = nodes.agg(F.max("level")).first()[0] or 0
+    upper = cut(nodes.filter(F.col("level") >= 1))
+    for k in range(top, 0, -1):
+        at = beam_search(edges.filter(F.col("layer") == k), upper, queries, at, 1, distance).select("qid", "id")
+    return at
+
+
+def search_layers(edges: DataFrame, nodes: DataFrame, queries: DataFrame, ef: int, distance: Column | str = "l2") -> DataFrame:
+    """(qid, id, distance, rank): the ef nearest that are found by greedy descent through the layers and a beam over layer 0."""
+    return beam_search(edges.filter(F.col("layer") == 0), nodes, queries, descend(edges, nodes, queries, distance), ef, distance)
+
+
 def compact(nodes: DataFrame, dim: int) -> DataFrame:
     """One row: nodes, upper_nodes, vector_bytes before and freed_bytes by dropping the lowest layer's vectors; nodes: (id, level)."""
     return nodes.agg(
