@@ -1,4 +1,4 @@
-"""Command line: python -m plumbline index|search|stats|bench."""
+"""Command line: python -m plumbline index|search|why|stats|bench."""
 
 from __future__ import annotations
 
@@ -27,6 +27,11 @@ def main(args: list[str] | None = None) -> None:
     search.add_argument("store")
     search.add_argument("query")
     search.add_argument("--limit", type=int, default=10)
+    search.add_argument("--rerank", action="store_true", help="rerank by the structure of neighbourhoods")
+    why = sub.add_parser("why", help="how a search for a vector judges a node")
+    why.add_argument("store")
+    why.add_argument("query")
+    why.add_argument("node", type=int)
     stats = sub.add_parser("stats", help="sizes of a store")
     stats.add_argument("store")
     bench = sub.add_parser("bench", help="time searches of a store for its own vectors")
@@ -47,8 +52,14 @@ def main(args: list[str] | None = None) -> None:
         query = files.vector_literal(spark, a.query)
         if query is None:
             parser.error("the query is no JSON array")
-        found = store.search(query, SearchConfig(a.limit))
+        found = store.search(query, SearchConfig(a.limit, enable_reranking=a.rerank, order_by="d_total" if a.rerank else "score"))
         found.select("rank", "id", "score", preview("metadata.extra", "metadata.source").alias("text")).orderBy("rank").show(a.limit, truncate=False)
+    elif a.command == "why":
+        query = files.vector_literal(spark, a.query)
+        if query is None:
+            parser.error("the query is no JSON array")
+        for name, value in store.why(query, a.node).items():
+            print(f"{name}: {value}")
     elif a.command == "stats":
         store.stats(true_hubs=True).show(truncate=False)
     else:
