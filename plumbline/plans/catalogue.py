@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import vectors as V
-from plumbline.operators import bitplane, evaluate, graph, rabitq, store, topk, topology
-from plumbline.plans.cutting import cut
-from plumbline.schema import SearchConfig
+from plumbline.operators import bitplane, evaluate, graph, index, rabitq, store, topk, topology
+from plumbline.plans.cutting import cut, shared_folder
+from plumbline.schema import METADATA, IndexConfig, SearchConfig
 from plumbline.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-DIM, Q, K, DEGREE = 64, 20, 10, 16
+DIM, K, DEGREE = 64, 10, 16
+#: The vectors that searches take as queries, against all: every one whose id is divisible by this.
+STEP = 100
 #: A fixed plane for the locality key.
 PLANE = [((i * 37) % 17 - 8) / 8 for i in range(DIM)]
 
@@ -41,13 +44,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
 
 
-def query_batch(base: DataFrame, n: int = Q) -> DataFrame:
-    return base.filter(F.col("id") < n).select(F.col("id").alias("qid"), F.col("v").alias("q"))
+def query_batch(base: DataFrame) -> DataFrame:
+    return base.filter(F.col("id") % STEP == 0).select(F.col("id").alias("qid"), F.col("v").alias("q"))
 
 
-def growing_batch(base: DataFrame) -> DataFrame:
-    """The batch of the queries without SQL, which grows with the table: query_batch and every id divisible by 100."""
-    return base.filter((F.col("id") < Q) | (F.col("id") % 100 == 0)).select(F.col("id").alias("qid"), F.col("v").alias("q"))
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a query's tables, in the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/plumbline-{name}-{uuid.uuid4().hex}"
 
 
 def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -61,7 +64,7 @@ def edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- SQL pieces
 E = "e as (select vec_id as id, list_transform(embedding, lambda x: x::double) as v, label from embeddings)"
-P = f"{E}, p as (select a.id as qid, b.id as id, a.v as q, b.v as v from e a join e b on a.id < {Q} and a.id <> b.id)"
+P = f"{E}, p as (select a.id as qid, b.id as id, a.v as q, b.v as v from e a join e b on a.id % {STEP} = 0 and a.id <> b.id)"
 L2 = "list_sum(list_transform(list_zip(q, v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 HAMMING = "list_sum(list_transform(list_zip(q, v), lambda z: ((z[1] > 0) <> (z[2] > 0))::int))"
 KNN = f"""{E}, knn as (select src, dst, d, rn from (select a.id as src, b.id as dst, list_distance(a.v, b.v) ** 2 as d,
@@ -182,6 +185,14 @@ def topk_filtered(spark, sf_dir):
     return shown(topk.top_k(q, base.filter(F.get("v", 0) > 0), K))
 
 
+@query(f"t as (select vec_id as id, list_transform(embedding[1:3], lambda x: sign(x)::double) as v from embeddings), p as (select a.id as qid, b.id as id, a.v as q, b.v as v from t a join t b on a.id % {STEP} = 0 and a.id <> b.id), d as (select qid, id, {L2} as d from p), r as (select qid, id, d, row_number() over (partition by qid order by d, id) as rank from d) select qid, id, round(d, 6) as distance, rank from r where rank <= {5 * K}")
+def topk_ties(spark, sf_dir):
+    """Eight different vectors, each many times: equal distances go to the smaller id."""
+    q, base = both(spark, sf_dir)
+    signs = lambda df, c: df.withColumn(c, F.transform(F.slice(c, 1, 3), lambda x: F.signum(x)))
+    return shown(topk.top_k_bulk(signs(q, "q"), signs(base, "v"), 5 * K))
+
+
 # ---- bit planes
 _LOW = "x, pow(2.0, floor(log2(abs(x))) + case when pow(2.0, floor(log2(abs(x)))) > abs(x) then -1 when pow(2.0, floor(log2(abs(x))) + 1) <= abs(x) then 1 else 0 end) as low"
 FLAT = f"{E}, f as (select id, pos, {_LOW} from (select id, generate_subscripts(v, 1) - 1 as pos, unnest(v) as x from e))"
@@ -196,6 +207,16 @@ def bitplane_coarse(spark, sf_dir):
     return _flat(vectors(spark, sf_dir).select("id", bitplane.coarse("v").alias("x")))
 
 
+@query(f"{FLAT} select id, pos, round(sign(x) * low, 6) as x from f where id % 5 <> 0")
+def bitplane_store(spark, sf_dir):
+    """Stored in two tiers, some deleted, and read coarsely."""
+    kept = bitplane.BitPlaneStore(spark, folder(spark, "planes"), DIM)
+    base = vectors(spark, sf_dir).select("id", "v")
+    kept.insert(base)
+    kept.delete(base.filter("id % 5 = 0").select("id"))
+    return _flat(kept.read(0).withColumnRenamed("v", "x"))
+
+
 def _partial_sql(step: str) -> str:
     return f"{FLAT}, m as (select id, pos, x, low, round((abs(x) / low - 1) * 8388608)::bigint as m from f) select id, pos, round(sign(x) * low * (1 + ({step}) / 8388608.0::double), 6) as x from m"
 
@@ -250,7 +271,7 @@ k as (select id, nrm, x, y, list_transform(x, lambda t: {code}) as code from x),
 a as (select id, nrm, nrm * nrm as sqr, x, y, code, list_transform(code, lambda t: {recon}) as recon from k),
 f as (select *, case when list_dot_product(recon, x) / 8 <= 1e-6 then 0.8 else list_dot_product(recon, x) / 8 end as x0 from a),
 g as (select *, 3.8 * nrm * sqrt(greatest(1 / (x0 * x0) - 1, 0)) / sqrt(63) as err from f),
-est as (select o.id as qid, g.id, g.sqr + o.sqr - 2 * g.nrm / (g.x0 * 8) * list_dot_product(g.recon, o.y) as raw, g.err * o.nrm as off from g join g o on o.id < {Q} and o.id <> g.id)"""
+est as (select o.id as qid, g.id, g.sqr + o.sqr - 2 * g.nrm / (g.x0 * 8) * list_dot_product(g.recon, o.y) as raw, g.err * o.nrm as off from g join g o on o.id % {STEP} = 0 and o.id <> g.id)"""
 
 
 def _codes(spark, sf_dir, bits: int) -> tuple[DataFrame, DataFrame]:
@@ -259,6 +280,16 @@ def _codes(spark, sf_dir, bits: int) -> tuple[DataFrame, DataFrame]:
     return rabitq.encode_queries(q, center, ROTATION), rabitq.encode(base, center, ROTATION, bits)
 
 
+def _estimated_top(spark, sf_dir, bits: int, k: int = K) -> DataFrame:
+    q, codes = _codes(spark, sf_dir, bits)
+    return rabitq.estimated_top_k(codes, q, k, bits, DIM)
+
+
+def _estimates_of(spark, sf_dir, pairs: DataFrame, bits: int) -> DataFrame:
+    q, codes = _codes(spark, sf_dir, bits)
+    return rabitq.estimates_of(pairs, codes, q, bits, DIM)
+
+
 def _estimates(spark, sf_dir, bits: int) -> DataFrame:
     q, codes = _codes(spark, sf_dir, bits)
     return rabitq.estimates(cut(codes), q, bits, DIM)
@@ -298,35 +329,35 @@ def _est_top_sql(bits: int, k: int = K) -> str:
 
 @query(_est_top_sql(4))
 def rabitq_topk(spark, sf_dir):
-    return shown(topk.ranked(_estimates(spark, sf_dir, 4), K, "estimate", "id", "qid"), "estimate")
+    return shown(_estimated_top(spark, sf_dir, 4), "estimate")
 
 
 @query(_est_top_sql(1))
 def rabitq_topk_1bit(spark, sf_dir):
-    return shown(topk.ranked(_estimates(spark, sf_dir, 1), K, "estimate", "id", "qid"), "estimate")
+    return shown(_estimated_top(spark, sf_dir, 1), "estimate")
 
 
-_PAIR = f"p as (select a.id as qid, b.id as id, a.v as q, b.v as v from e a join e b on a.id < {Q} and a.id <> b.id), l2 as (select qid, id, {L2} as d from p)"
+_PAIR = f"p as (select a.id as qid, b.id as id, a.v as q, b.v as v from e a join e b on a.id % {STEP} = 0 and a.id <> b.id), l2 as (select qid, id, {L2} as d from p)"
 
 
 @query(f"{_rabitq_sql(4)}, {_PAIR}, rk as (select l2.qid, l2.id, greatest(raw, 0) as est, d, row_number() over (partition by l2.qid order by d, l2.id) as rank from l2 join est using (qid, id)) select qid, id, round(est, 6) as estimated, round(d, 6) as precise, rank from rk where rank <= {K}")
 def combined_asymmetric(spark, sf_dir):
-    near = topk.top_k_bulk(*both(spark, sf_dir), K)
-    found = near.join(_estimates(spark, sf_dir, 4), ["qid", "id"])
+    near = cut(topk.top_k_bulk(*both(spark, sf_dir), K))
+    found = near.join(_estimates_of(spark, sf_dir, near, 4), ["qid", "id"])
     return found.select("qid", "id", r6("estimate").alias("estimated"), r6("distance").alias("precise"), "rank")
 
 
 @query(f"{_rabitq_sql(4)}, {_PAIR}, s as (select qid, id, greatest(raw, 0) as est, row_number() over (partition by qid order by greatest(raw, 0), id) as rn from est), rk as (select s.qid, s.id, est, d, row_number() over (partition by s.qid order by d, s.id) as rank from s join l2 using (qid, id) where rn <= {5 * K}) select qid, id, round(est, 6) as estimated, round(d, 6) as precise, rank from rk where rank <= {K}")
 def combined_two_phase(spark, sf_dir):
     q, base = both(spark, sf_dir)
-    some = topk.ranked(_estimates(spark, sf_dir, 4), 5 * K, "estimate", "id", "qid").select("qid", "id", "estimate", "rank")
+    some = _estimated_top(spark, sf_dir, 4, 5 * K)
     return topk.two_phase(some, base, q, K).select("qid", "id", r6("estimate").alias("estimated"), r6("precise").alias("precise"), "rank")
 
 
 @query(f"{_rabitq_sql(4)}, {_PAIR}, cn as (select qid, id, row_number() over (partition by qid order by d, id) as rn from l2), rk as (select cn.qid, cn.id, greatest(raw, 0) as d, row_number() over (partition by cn.qid order by greatest(raw, 0), cn.id) as rank from cn join est using (qid, id) where rn <= 64) select qid, id, round(d, 6) as distance, rank from rk where rank <= {K}")
 def nsw_rabitq_rescore(spark, sf_dir):
     near = topk.top_k_bulk(*both(spark, sf_dir), 64).select("qid", "id")
-    return shown(topk.ranked(near.join(_estimates(spark, sf_dir, 4), ["qid", "id"]), K, "estimate", "id", "qid"), "estimate")
+    return shown(topk.ranked(_estimates_of(spark, sf_dir, near, 4), K, "estimate", "id", "qid"), "estimate")
 
 
 # ---- graphs
@@ -345,9 +376,9 @@ def hub_top10(spark, sf_dir):
     return topk.ranked(graph.hub_scores(edges_of(spark, sf_dir)), 10, "in_degree", "node", descending=True).select("node", "in_degree", "rank")
 
 
-@query(f"{KNN}, s as (select id as start, id as node, 0 as hop from e where id < {Q}), h1 as (select start, dst as node, 1 as hop from s join knn on src = node), h2 as (select start, dst as node, 2 as hop from h1 join knn on src = node) select start, node, min(hop)::bigint as hop from (select * from h1 union all select * from h2) where start <> node group by all")
+@query(f"{KNN}, s as (select id as start, id as node, 0 as hop from e where id % {STEP} = 0), h1 as (select start, dst as node, 1 as hop from s join knn on src = node), h2 as (select start, dst as node, 2 as hop from h1 join knn on src = node) select start, node, min(hop)::bigint as hop from (select * from h1 union all select * from h2) where start <> node group by all")
 def khop_neighbors(spark, sf_dir):
-    starts = vectors(spark, sf_dir).filter(F.col("id") < Q).select("id")
+    starts = vectors(spark, sf_dir).filter(F.col("id") % STEP == 0).select("id")
     return graph.khop(edges_of(spark, sf_dir), starts, 2).select("start", "node", F.col("hop").cast("long").alias("hop"))
 
 
@@ -397,7 +428,7 @@ def partitioned_build(spark, sf_dir):
 @query()
 def graph_search(spark, sf_dir):
     base = vectors(spark, sf_dir).select("id", "v")
-    q = growing_batch(base)
+    q = query_batch(base)
     edges = graph.build_partitioned(base, DEGREE)
     hubs = topk.ranked(graph.hub_scores(edges), 8, "in_degree", "node", descending=True).select("node")
     return shown(graph.beam_search(edges, base, q, hubs, 64))
@@ -423,13 +454,16 @@ def betti(spark, sf_dir):
     return topology.ego_stats(edges, edges.select("src").distinct()).select("ego", "nv", "ne", "beta0", "beta1", "euler")
 
 
-@query()
+@query(f"""recursive {EGO}, c as (select ego, u, w from (select *, row_number() over (partition by ego order by u, w) as rn from ee) where rn <= 12), s as (select ego, u as a, w as b from c union select ego, w, u from c),
+reach(ego, node, far) as (select ego, node, node from m union select r.ego, r.node, s.b from reach r join s on s.ego = r.ego and s.a = r.far),
+b as (select ego, count(*) as beta0 from (select ego, node, min(far) as root from reach group by all) where node = root group by 1), n as (select ego, count(*) as ne from c group by 1)
+select ego, nv, n.ne, beta0, greatest(beta0 - nv + n.ne, 0) as beta1, nv - n.ne as euler from st join b using (ego) join n using (ego)""")
 def betti_capped(spark, sf_dir):
     edges = edges_of(spark, sf_dir)
     return topology.ego_stats(edges, edges.select("src").distinct(), cap=12).select("ego", "nv", "ne", "beta0", "beta1", "euler")
 
 
-_BALLS = f"""{KNN}, pr as (select id as x, id + 1 as y from e where id < {Q}), b0 as (select x as s from pr union select y from pr),
+_BALLS = f"""{KNN}, pr as (select id as x, id + 1 as y from e where id % {STEP} = 0), b0 as (select x as s from pr union select y from pr),
 b1 as (select s, s as node from b0 union select s, dst from b0 join knn on src = s), b2 as (select s, node from b1 union select s, dst from b1 join knn on src = node),
 m as (select x, y, node from pr join b2 on s = x union select x, y, node from pr join b2 on s = y),
 ee as (select distinct m1.x, m1.y, least(src, dst) as u, greatest(src, dst) as w from m m1 join knn on src = m1.node join m m2 on m2.x = m1.x and m2.y = m1.y and m2.node = dst)"""
@@ -437,12 +471,12 @@ ee as (select distinct m1.x, m1.y, least(src, dst) as u, greatest(src, dst) as w
 
 @query(f"{_BALLS} select x, y, nv, ne from (select x, y, count(*) as nv from m group by all) join (select x, y, count(*) as ne from ee group by all) using (x, y)")
 def ego_pair(spark, sf_dir):
-    pairs = vectors(spark, sf_dir).filter(F.col("id") < Q).select(F.col("id").alias("x"), (F.col("id") + 1).alias("y"))
+    pairs = vectors(spark, sf_dir).filter(F.col("id") % STEP == 0).select(F.col("id").alias("x"), (F.col("id") + 1).alias("y"))
     members, inside = topology.ego_pair(edges_of(spark, sf_dir), pairs)
     return topology.betti(members, inside, ("x", "y")).select("x", "y", "nv", "ne")
 
 
-_RETRIEVE = f"""{EGO}, p as (select a.id as qid, b.id, a.v as q, b.v from e a join e b on a.id < {Q} and a.id <> b.id), c as (select qid, id, q, v, row_number() over (partition by qid order by {L2}, id) as rn from p),
+_RETRIEVE = f"""{EGO}, p as (select a.id as qid, b.id, a.v as q, b.v from e a join e b on a.id % {STEP} = 0 and a.id <> b.id), c as (select qid, id, q, v, row_number() over (partition by qid order by {L2}, id) as rn from p),
 s as (select qid, id, 1 - (1 - {COS}) / 2 as score from c where rn <= {2 * K}), t as (select qid, id, score, 0.7 * (1 - score) + 0.3 * exp(-beta1 / greatest(ne, 1)::double) as d_total from s join st on ego = id)"""
 
 
@@ -457,15 +491,15 @@ def rerank(spark, sf_dir):
 @query()
 def rerank_pairwise(spark, sf_dir):
     base = vectors(spark, sf_dir).select("id", "v")
-    q = growing_batch(base)
+    q = query_batch(base)
     near = topk.top_k_bulk(q, base, 6).join(base, "id").join(q, "qid").select("qid", "id", V.cosine_distance("q", "v", "half").alias("cosine"))
     return topology.rerank_pairwise(cut(near), edges_of(spark, sf_dir)).select("qid", "id", r6("mean_d").alias("mean_d"))
 
 
-@query(f"{EGO} select t1.ego, t1.u as a, t1.w as b, t2.w as c, round(greatest(t1.d, t2.d, t3.d), 6) as weight from ee t1 join ee t2 on t2.ego = t1.ego and t2.u = t1.w join ee t3 on t3.ego = t1.ego and t3.u = t1.u and t3.w = t2.w where t1.ego < {Q}")
+@query(f"{EGO} select t1.ego, t1.u as a, t1.w as b, t2.w as c, round(greatest(t1.d, t2.d, t3.d), 6) as weight from ee t1 join ee t2 on t2.ego = t1.ego and t2.u = t1.w join ee t3 on t3.ego = t1.ego and t3.u = t1.u and t3.w = t2.w where t1.ego % {STEP} = 0")
 def triangles(spark, sf_dir):
     base = vectors(spark, sf_dir)
-    inside = topology.ego_single(edges_of(spark, sf_dir), base.filter(F.col("id") < Q).select("id"))[1]
+    inside = topology.ego_single(edges_of(spark, sf_dir), base.filter(F.col("id") % STEP == 0).select("id"))[1]
     return topology.triangles(inside).withColumn("weight", r6("weight"))
 
 
@@ -479,7 +513,7 @@ def persistence(spark, sf_dir):
 @query()
 def d_total_persistence(spark, sf_dir):
     base = vectors(spark, sf_dir).select("id", "v")
-    q = growing_batch(base)
+    q = query_batch(base)
     edges = edges_of(spark, sf_dir)
     inside = cut(topology.cap_edges(topology.ego_single(edges, base.select("id"))[1]))
     score = topology.diagram_stats(topology.persistence(inside)).select(F.col("ego").alias("id"), "score")
@@ -525,6 +559,19 @@ def _retrieved(df: DataFrame) -> DataFrame:
     return df.select("qid", "id", "rank", r6("score").alias("score"), r6("d_total").alias("d_total"))
 
 
+def _items(base: DataFrame) -> DataFrame:
+    meta = F.struct(F.lit(0).cast("long").alias("timestamp"), F.col("label").cast("string").alias("source"), F.array().cast("array<string>").alias("tags"), F.create_map().cast("map<string,string>").alias("extra"))
+    return base.select(F.col("id").alias("seq"), F.col("v").alias("embedding"), meta.cast(METADATA).alias("metadata"))
+
+
+def stored_vectors(spark: SparkSession, sf_dir: str, some: Column | None = None) -> store.VectorStore:
+    """A new store with the table's vectors; ids are 0, 1, ... in the table and in the store."""
+    base = vectors(spark, sf_dir)
+    kept = store.VectorStore(spark, folder(spark, "store"), DIM, DEGREE)
+    kept.ingest(_items(base if some is None else base.filter(some)))
+    return kept
+
+
 @query(f"{_RETRIEVE}, r as (select *, row_number() over (partition by qid order by score desc, id) as rank from s) select qid, id, rank, round(score, 6) as score, null::double as d_total from r where rank <= {K}")
 def retrieve(spark, sf_dir):
     return _retrieved(store.retrieve(*both(spark, sf_dir), SearchConfig(K, enable_reranking=False)))
@@ -537,11 +584,29 @@ def retrieve_rerank(spark, sf_dir):
     return _retrieved(store.retrieve(q, base, SearchConfig(K, order_by="d_total"), stats))
 
 
-@query(f"{E}, p as (select a.id as qid, b.id, a.v as q, b.v from e a join e b on a.id < {Q} and a.id <> b.id and b.id % 10 <> 0), c as (select qid, id, q, v, row_number() over (partition by qid order by {L2}, id) as rn from p), s as (select qid, id, 1 - (1 - {COS}) / 2 as score from c where rn <= {2 * K}), r as (select *, row_number() over (partition by qid order by score desc, id) as rank from s) select qid, id, rank, round(score, 6) as score from r where rank <= {K}")
+@query(f"{E}, p as (select a.id as qid, b.id, a.v as q, b.v from e a join e b on a.id % {STEP} = 0 and a.id <> b.id and b.id % 10 <> 0), c as (select qid, id, q, v, row_number() over (partition by qid order by {L2}, id) as rn from p), s as (select qid, id, 1 - (1 - {COS}) / 2 as score from c where rn <= {2 * K}), r as (select *, row_number() over (partition by qid order by score desc, id) as rank from s) select qid, id, rank, round(score, 6) as score from r where rank <= {K}")
 def vacuum_then_retrieve(spark, sf_dir):
-    q, base = both(spark, sf_dir)
-    live = base.select("id").filter("id % 10 <> 0")
-    return _retrieved(store.retrieve(q, base, SearchConfig(K, enable_reranking=False), live=live)).drop("d_total")
+    kept = stored_vectors(spark, sf_dir)
+    kept.vacuum(kept.snapshot().filter("node_id % 10 = 0").select("node_id"))
+    return _retrieved(kept.search(query_batch(vectors(spark, sf_dir)), SearchConfig(K, enable_reranking=False))).drop("d_total")
+
+
+_LIVE = "e as (select vec_id as id, list_transform(embedding, lambda x: x::double) as v, label from embeddings where vec_id % 10 <> 0), a as (select vec_id as id, list_transform(embedding, lambda x: x::double) as v from embeddings)"
+_LIVE_EGO = EGO.replace(E, _LIVE, 1)
+
+
+@query(f"""{_LIVE_EGO}, p as (select a.id as qid, b.id, a.v as q, b.v from a join e b on a.id % {STEP} = 0 and a.id <> b.id), c as (select qid, id, q, v, row_number() over (partition by qid order by {L2}, id) as rn from p),
+s as (select qid, id, 1 - (1 - {COS}) / 2 as score from c where rn <= {2 * K}), t as (select qid, id, score, 0.7 * (1 - score) + 0.3 * exp(-beta1 / greatest(ne, 1)::double) as d_total from s join st on ego = id),
+r as (select *, row_number() over (partition by qid order by d_total, id) as rank from t) select qid, id, rank, round(score, 6) as score, round(d_total, 6) as d_total from r where rank <= {K}""")
+def store_lifecycle(spark, sf_dir):
+    """Two batches, a search that makes the kept graph, a vacuum, and a search by structure that takes over what hasn't changed."""
+    base, config = vectors(spark, sf_dir), SearchConfig(K, order_by="d_total")
+    n = base.count()
+    kept = stored_vectors(spark, sf_dir, F.col("id") < n - n // 10)
+    kept.graph()
+    kept.ingest(_items(base.filter(F.col("id") >= n - n // 10)))
+    kept.vacuum(kept.snapshot().filter("node_id % 10 = 0").select("node_id"))
+    return _retrieved(kept.search(query_batch(base), config))
 
 
 @query(f"{E}, n as (select count(*) as n, max(len(v)) as d from e) select n as total_nodes, d as dimensions, n * 9 * ceil(d / 8.0)::bigint as bitplane_coarse_bytes, n * (4 * d + 8 * 32 + 68) + n * 9 * ceil(d / 8.0)::bigint + 16 * n + 1024 as memory_usage_bytes, n * 16 * 2 * 8 + n * d * 4 + n * (d * 4 // 8 + 16) as combined_bytes from n")
@@ -553,14 +618,15 @@ def memory_model(spark, sf_dir):
 
 @query(f"{E} select id, case when id % 7 = 0 then 'expected 64 dimensions, got 63' end as error from e")
 def batch_ingest_check(spark, sf_dir):
-    items = vectors(spark, sf_dir).select("id", F.when(F.col("id") % 7 == 0, F.slice("v", 1, 63)).otherwise(F.col("v")).alias("embedding"))
-    checker = store.VectorStore(spark, "unused", DIM)
-    return checker.checked(items).select("id", "error")
+    base = vectors(spark, sf_dir).withColumn("v", F.when(F.col("id") % 7 == 0, F.slice("v", 1, 63)).otherwise(F.col("v")))
+    done = store.VectorStore(spark, folder(spark, "store"), DIM).ingest(_items(base))
+    return done.select(F.col("seq").alias("id"), "error")
 
 
 @query(f"{E} select id, label::bigint as label from e where id = 7")
 def point_lookup(spark, sf_dir):
-    return vectors(spark, sf_dir).filter("id = 7").select("id", F.col("label").cast("long").alias("label"))
+    row = stored_vectors(spark, sf_dir).get(7)
+    return spark.createDataFrame([(row["node_id"], int(row["metadata"]["source"]))], "id long, label long")
 
 
 @query(f"{E} select id, 'label ' || label as text, round(v[1], 6) as x0, len(v)::bigint as dim from e where id % 3 <> 0")
@@ -574,6 +640,69 @@ def jsonl_ingest(spark, sf_dir):
     return named.join(ids, (F.get("embedding", 0) == F.col("a")) & (F.get("embedding", 1) == F.col("b"))).select("id", F.col("metadata.extra")["text"].alias("text"), "x0", "dim")
 
 
+# ---- the kept index
+CONFIG = IndexConfig(dimensions=DIM, max_neighbors=DEGREE)
+
+
+def built(spark: SparkSession, sf_dir: str) -> index.CombinedIndex:
+    made = index.CombinedIndex(spark, folder(spark, "index"), CONFIG)
+    made.insert(vectors(spark, sf_dir).select("id", "v"))
+    return made
+
+
+_ALL = _rabitq_sql(4).replace(" and o.id <> g.id", "") + f", p as (select a.id as qid, b.id as id, a.v as q, b.v as v from e a join e b on a.id % {STEP} = 0), l2 as (select qid, id, {L2} as d from p)"
+
+
+@query(f"{_ALL}, rk as (select l2.qid, l2.id, greatest(raw, 0) as est, d, row_number() over (partition by l2.qid order by d, l2.id) as rank from l2 join est using (qid, id)) select qid, id, rank, round(est, 6) as estimated, round(d, 6) as precise from rk where rank <= {K}")
+def index_exact(spark, sf_dir):
+    """The index without its graph; the query itself is found."""
+    found = built(spark, sf_dir).search(query_batch(vectors(spark, sf_dir)), K, mode="exact")
+    return found.select("qid", "id", "rank", r6("estimated").alias("estimated"), r6("precise").alias("precise"))
+
+
+@query(f"{E}, l as (select {_LEVEL} as level from e), c as (select count(*) as n, count(*) filter (level = 0) as low from l) select low * 256 as freed_bytes, n * 16 * 2 * 8 as graph_bytes, (n - low) * 256 as float_bytes, n * 48 as code_bytes, n as nodes from c")
+def index_compact(spark, sf_dir):
+    made = built(spark, sf_dir)
+    freed, m = made.compact(), None
+    m = made.memory()
+    return spark.createDataFrame([(freed, m["graph"], m["float"], m["codes"], len(made))], "freed_bytes long, graph_bytes long, float_bytes long, code_bytes long, nodes long")
+
+
+@query()
+def index_recall(spark, sf_dir):
+    """(setting, queries, recall) at 10 of the modes, and of the codes that are left when the index is compacted."""
+    base = vectors(spark, sf_dir).select("id", "v")
+    q, made = query_batch(base), built(spark, sf_dir)
+    truth = cut(topk.top_k_bulk(q, base, K, exclude_self=False))
+    found = {mode: cut(made.search(q, K, 64, mode)) for mode in ("asymmetric", "beam", "hybrid")}
+    made.compact()
+    found["compacted"] = cut(made.search(q, K, 64))
+    return evaluate.recall_sweep(found, truth, K).withColumn("recall", r6("recall"))
+
+
+@query()
+def ef_sweep(spark, sf_dir):
+    """(setting, queries, recall) at 10 of graph searches with growing beams."""
+    base = vectors(spark, sf_dir).select("id", "v")
+    q, edges = query_batch(base), cut(graph.build(base, DEGREE))
+    truth = cut(topk.top_k_bulk(q, base, K, exclude_self=False))
+    hubs = cut(topk.ranked(graph.hub_scores(edges), 8, "in_degree", "node", descending=True).select("node"))
+    return evaluate.recall_sweep({f"ef {ef}": graph.beam_search(edges, base, q, hubs, ef) for ef in (16, 32, 64)}, truth, K).withColumn("recall", r6("recall"))
+
+
+@query()
+def index_insert(spark, sf_dir):
+    """(layer, nodes, edges, most) of an index that took its last tenth of vectors by insertion, after some were removed."""
+    base = vectors(spark, sf_dir).select("id", "v")
+    n = base.count()
+    made = index.CombinedIndex(spark, folder(spark, "index"), CONFIG)
+    made.insert(base.filter(F.col("id") < n - n // 10))
+    made.remove(base.filter("id % 10 = 3").select("id"))
+    made.insert(base.filter(F.col("id") >= n - n // 10))
+    degree = made.edges().groupBy("layer", "src").agg(F.count(F.lit(1)).alias("d"))
+    return degree.groupBy("layer").agg(F.count(F.lit(1)).alias("nodes"), F.sum("d").alias("edges"), F.max("d").alias("most"))
+
+
 # ---- evaluation and benchmark pipelines
 _TRUTH = f"{P}, tr as (select qid, id, row_number() over (partition by qid order by {L2}, id) as rank from p), hm as (select qid, id, row_number() over (partition by qid order by {HAMMING}, id) as rank from p)"
 
@@ -587,7 +716,7 @@ def bench_naive_binary(spark, sf_dir):
 
 def _rabitq_recall(bits: int) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = topk.ranked(_estimates(spark, sf_dir, bits), K, "estimate", "id", "qid")
+        found = _estimated_top(spark, sf_dir, bits)
         return evaluate.recall_at_k(found, topk.top_k_bulk(*both(spark, sf_dir), K), K).select("qid", "hits", r6("recall").alias("recall"))
 
     run.__name__ = f"bench_rabitq_brute_{bits}bit"
@@ -598,6 +727,13 @@ for _bits in (1, 4):
     _rabitq_recall(_bits)
 
 
+@query(f"{_rabitq_sql(4)}, {_PAIR}, s as (select qid, id, row_number() over (partition by qid order by greatest(raw, 0), id) as rn from est), rk as (select s.qid, s.id, row_number() over (partition by s.qid order by d, s.id) as rank from s join l2 using (qid, id) where rn <= {5 * K}), tr as (select qid, id, row_number() over (partition by qid order by d, id) as rank from l2) select t.qid, count(f.id) as hits, round(count(f.id) / {K}.0::double, 6) as recall from (select * from tr where rank <= {K}) t left join (select * from rk where rank <= {K}) f using (qid, id) group by 1")
+def bench_combined_two_phase(spark, sf_dir):
+    q, base = both(spark, sf_dir)
+    found = topk.two_phase(_estimated_top(spark, sf_dir, 4, 5 * K), base, q, K)
+    return evaluate.recall_at_k(found, topk.top_k_bulk(q, base, K), K).select("qid", "hits", r6("recall").alias("recall"))
+
+
 @query(f"{_TRUTH} select t.qid, coalesce(round(1 / min(h.rank)::double, 6), 0) as mrr from (select * from tr where rank <= {K}) t left join (select * from hm where rank <= {K}) h using (qid, id) group by 1")
 def mrr_at_k(spark, sf_dir):
     q, base = both(spark, sf_dir)
