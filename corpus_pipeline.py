@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and returns a frame that is written as
 Parquet and read again as the next stage's docs. All but the last return the
 columns of documents. A stage works on all rows that its predecessor kept.
+
+Defined results, of every stage: rows are judged, not ids, so ids may repeat or be
+null; columns beside those of documents go along, whatever their names; an empty
+table gives an empty one. A text of any length is taken whole.
 """
 
 from __future__ import annotations
@@ -20,32 +24,34 @@ LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language can be told: with a letter, and a posterior of at least LEAST_SCORE. Ids may repeat; rows
-    are judged, not ids."""
+    """Keeps the documents whose language can be told: with a letter, and a posterior of at least LEAST_SCORE. A null or empty text, or one without a letter, goes. At
+    equal posteriors the first language in order counts; without labelled texts to learn from, no language can be told and all go."""
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
     model = langid.train(docs.filter(~F.coalesce(held_out, F.lit(False))))
     return langid.kept_rows(docs, model, LEAST_SCORE)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that pass the base rules and the log-likelihood ratio."""
+    """Keeps the documents that pass the base rules and the log-likelihood ratio. A null text has no words and goes; a score at the threshold stays; without trusted
+    texts the base rules alone decide."""
     trusted = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     model = quality.fit(docs, trusted)
     return quality.kept_rows(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group, the one with the least id; rows, not ids, are judged."""
+    """Keeps one document of each group, the one with the least id, null being the greatest. Null and empty texts are in no group and stay."""
     return neardup.kept_rows(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes the documents as often as the mix does."""
+    """Takes each document as often as the mix does: not at all, once or twice. A null source is one of its own; documents without a word go along with their source's
+    whole copies; of equal texts, which are taken is open."""
     return mixing.mixed_rows(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences."""
+    """Packs the documents into sequences, a row per piece; a null text is one piece of its end id alone. Repeated rows are packed each."""
     return packing.pack_documents(docs)
 
 
