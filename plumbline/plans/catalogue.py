@@ -483,8 +483,8 @@ s as (select qid, id, 1 - (1 - {COS}) / 2 as score from c where rn <= {2 * K}),
 @query(f"{_RETRIEVE} select qid, id, round(d_total, 6) as d_total, row_number() over (partition by qid order by d_total, id) as rank from t")
 def rerank(spark, sf_dir):
     q, base = both(spark, sf_dir)
-    stats = topology.ego_stats(edges_of(spark, sf_dir), base.select("id"))
-    near = topk.top_k_bulk(q, base, 2 * K).join(base, "id").join(F.broadcast(q), "qid").select("qid", "id", V.cosine_distance("q", "v", "half").alias("cosine"))
+    near = cut(topk.top_k_bulk(q, base, 2 * K).join(base, "id").join(q, "qid").select("qid", "id", V.cosine_distance("q", "v", "half").alias("cosine")))
+    stats = topology.ego_stats(edges_of(spark, sf_dir), near.select("id").distinct())
     return topology.rerank(near, stats).select("qid", "id", r6("d_total").alias("d_total"), F.col("d_rank").alias("rank"))
 
 
@@ -514,11 +514,10 @@ def persistence(spark, sf_dir):
 def d_total_persistence(spark, sf_dir):
     base = vectors(spark, sf_dir).select("id", "v")
     q = query_batch(base)
-    edges = edges_of(spark, sf_dir)
-    inside = cut(topology.cap_edges(topology.ego_single(edges, base.select("id"))[1]))
+    near = cut(topk.top_k_bulk(q, base, K).join(base, "id").join(q, "qid").select("qid", "id", V.cosine_distance("q", "v", "half").alias("cosine")))
+    inside = cut(topology.cap_edges(topology.ego_single(edges_of(spark, sf_dir), near.select("id").distinct())[1]))
     score = topology.diagram_stats(topology.persistence(inside)).select(F.col("ego").alias("id"), "score")
     ne = inside.groupBy(F.col("ego").alias("id")).agg(F.count(F.lit(1)).alias("ne"))
-    near = topk.top_k_bulk(q, base, K).join(base, "id").join(q, "qid").select("qid", "id", V.cosine_distance("q", "v", "half").alias("cosine"))
     df = near.join(score, "id", "left").join(ne, "id", "left").select("qid", "id", topology.d_total("cosine", F.coalesce("score", F.lit(0.0)), F.coalesce("ne", F.lit(0)), 0.7, 0.3).alias("d"))
     return df.select("qid", "id", r6("d").alias("d_total"))
 
@@ -580,8 +579,9 @@ def retrieve(spark, sf_dir):
 @query(f"{_RETRIEVE}, r as (select *, row_number() over (partition by qid order by d_total, id) as rank from t) select qid, id, rank, round(score, 6) as score, round(d_total, 6) as d_total from r where rank <= {K}")
 def retrieve_rerank(spark, sf_dir):
     q, base = both(spark, sf_dir)
-    stats = topology.ego_stats(edges_of(spark, sf_dir), base.select("id"))
-    return _retrieved(store.retrieve(q, base, SearchConfig(K, order_by="d_total"), stats))
+    config = SearchConfig(K, order_by="d_total")
+    stats = topology.ego_stats(edges_of(spark, sf_dir), topk.top_k_bulk(q, base, config.candidates).select("id").distinct())
+    return _retrieved(store.retrieve(q, base, config, stats))
 
 
 @query(f"{E}, p as (select a.id as qid, b.id, a.v as q, b.v from e a join e b on a.id % {STEP} = 0 and a.id <> b.id and b.id % 10 <> 0), c as (select qid, id, q, v, row_number() over (partition by qid order by {L2}, id) as rn from p), s as (select qid, id, 1 - (1 - {COS}) / 2 as score from c where rn <= {2 * K}), r as (select *, row_number() over (partition by qid order by score desc, id) as rank from s) select qid, id, rank, round(score, 6) as score from r where rank <= {K}")
