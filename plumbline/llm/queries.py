@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .neardup import ORACLE as NEAR_ORACLE
 from .url_rules import ORACLE as URL_ORACLE
 
 
@@ -84,4 +85,4 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_mixing": op2_mixing, "op3_token_counts": op3_token_counts, "op6_url_filters": op6_url_filters, "op8_sharding": op8_sharding, "op10_quality_rules": op10_quality_rules, "op4_near_duplicates": op4_near_duplicates, "op5_language_id": op5_language_id, "op7_media_columns": op7_media_columns, "op9_html_extraction": op9_html_extraction}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {"op6_url_filters": URL_ORACLE}
+ORACLES: dict[str, str] = {"op4_near_duplicates": NEAR_ORACLE, "op6_url_filters": URL_ORACLE}
