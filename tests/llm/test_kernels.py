@@ -31,6 +31,48 @@ def test_best_fit_takes_the_tightest_and_closes_the_fullest():
     assert [b for b, _ in packing.best_fit([45, 30, 40, 5, 10], 50, 2)] == [0, 1, 2, 2, 1]
 
 
+def slow_best_fit(lengths, size, open_bins):
+    """Bins as a plain list: the open one with the least sufficient space, the last used among equals; the one with the least space closes."""
+    bins, out, made = [], [], 0
+    for n in lengths:
+        fits = [b for b in bins if b[1] >= n]
+        if fits:
+            b = min(fits, key=lambda b: (b[1], -b[2]))
+            bins.remove(b)
+        else:
+            b = (made, size, 0)
+            made += 1
+            if len(bins) == open_bins:
+                bins.remove(min(bins, key=lambda b: (b[1], -b[2])))
+        out.append((b[0], size - b[1]))
+        if b[1] > n:
+            bins.append((b[0], b[1] - n, len(out)))
+    return out
+
+
+@given(st.lists(st.integers(1, 30), max_size=120), st.integers(1, 9))
+@settings(max_examples=200)
+def test_best_fit_equals_a_plain_list(lengths, open_bins):
+    assert packing.best_fit(lengths, 30, open_bins) == slow_best_fit(lengths, 30, open_bins)
+
+
+def test_words_are_forgotten_but_ids_stay():
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abcdeé'!1 ", k=200)) for _ in range(60)]
+    few = packing.TokenBytes(packing.encoder(packing.VOCABULARY).path, remembered=20)
+    assert [np.frombuffer(x, "<u4").tolist() for x in few.encode_all(texts)] == [few.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(few.words) < 5000
+
+
+def test_ranked_pieces_equal_the_merges():
+    e = packing.encoder(packing.VOCABULARY)
+    rng = random.Random(3)
+    tokens = [t.removesuffix("</w>") for t in e.whole.get_vocab() if t.isascii() and t.removesuffix("</w>").isalpha() and t.islower()]
+    words = ["".join(rng.choices(tokens, k=rng.randint(1, 4))) if i % 2 else "".join(rng.choices("abcdefghijklmnopqrstuvwxyzéèßüñø", k=rng.randint(1, 40))) for i in range(5000)]
+    for w, ids in zip(words, e.whole.encode_batch(words, add_special_tokens=False), strict=True):
+        assert np.frombuffer(e.encode(w), "<u4").tolist() == ids.ids
+
+
 def test_encoder_equals_the_tokenizer():
     e = packing.encoder(packing.VOCABULARY)
     odd = ["it's", "DON'T!", "a1b2", "x<|endoftext|>y", "naïve's", "ÿÀÖ×÷ß", "''s", "ﬁ", "İx", "Σας", "áb", "ª", "x\u0085y", "a\xa0b", "😀!", "a\x1cb", "", "\x1d"]
@@ -153,18 +195,56 @@ def test_forward_sums_all_segmentations():
         found = sum(prob[table[run[:k]], 0] * brute(run[k:]) for k in range(1, len(run) + 1) if run[:k] in table)
         return found + (langid.UNKNOWN * brute(run[1:]) if run[0] not in table else 0)
 
-    for run in ("▁ab", "▁abab", "▁zab", "▁aabbabab", "▁" + "ab" * 9):
-        assert np.exp(langid.Lattice([run], langid.PieceIndex(pieces)).log_prob(prob))[0, 0] == pytest.approx(brute(run))
-    long = langid.Lattice(["▁" + "z" * 3000], langid.PieceIndex(pieces)).log_prob(prob)
-    assert np.isfinite(long).all()
+    trie, weights = langid.PieceTrie(pieces), langid.scaled(prob, pieces)
+    runs = ["▁ab", "▁abab", "▁zab", "▁aabbabab", "▁" + "ab" * 9, "▁", "▁日本ab"]
+    assert np.exp(langid.log_probs(runs, trie, weights))[:, 0] == pytest.approx([brute(r) for r in runs])
+
+
+@pytest.mark.parametrize("longest", [3, 11, 40])
+def test_forward_in_blocks(longest):
+    """Runs longer than a block, against sums place by place in logarithms; pieces may be longer than 8 letters and than a block."""
+    rng = random.Random(longest)
+    pieces = sorted({"▁", "▁a", "a", "b"} | {"".join(rng.choices("ab", k=rng.randint(1, longest))) for _ in range(40)} | {"a" * longest})
+    prob = np.array([[rng.random() / 10, rng.random() / 1000] for _ in pieces] + [[0, 0], [langid.UNKNOWN] * 2])
+    table = {p: i for i, p in enumerate(pieces)}
+
+    def slow(run, language):
+        logs = [0.0]
+        for j in range(1, len(run) + 1):
+            parts = [logs[i] + np.log(prob[table[run[i:j]], language]) for i in range(max(0, j - longest - 1), j) if run[i:j] in table]
+            if run[j - 1] not in table:
+                parts.append(logs[j - 1] + np.log(langid.UNKNOWN))
+            logs.append(np.logaddexp.reduce(parts))
+        return logs[-1]
+
+    runs = ["▁" + "".join(rng.choices("abz" if n % 2 else "ab", k=n)) for n in (1, 30, 31, 32, 33, 63, 64, 65, 200, 997)] + ["▁" + "a" * 500]
+    trie, weights = langid.PieceTrie(pieces), langid.scaled(prob, pieces)
+    got = langid.log_probs(runs, trie, weights)
+    assert got == pytest.approx(np.array([[slow(r, k) for k in (0, 1)] for r in runs]))
+    small = langid.SUMS
+    try:
+        langid.SUMS = 1  # a block at a time
+        assert langid.log_probs(runs, trie, weights) == pytest.approx(got)
+    finally:
+        langid.SUMS = small
+
+
+def test_the_whole_vocabulary_is_in_use():
+    pieces = langid.read_pieces()
+    assert "▁information" in pieces and "▁" in pieces and max(map(len, pieces)) > 12
+    text = "▁" + "informationdifferentbusiness" * 400
+    prob = langid.learn({"▁information": 5, "▁different": 2, text: 1}, pieces)
+    assert prob[pieces.index("▁information")] > prob[pieces.index("▁inform")]
+    weights = langid.scaled(prob[:, None], pieces)
+    assert np.isfinite(langid.log_probs([text, "▁" + "z" * 3000, "▁" + "語" * 3000], langid.PieceTrie(pieces), weights)).all()
 
 
 def test_expected_uses_add_up():
     pieces = ["▁", "a", "b", "ab"]
-    prob = np.array([[0.4], [0.2], [0.2], [0.2], [0.0], [langid.UNKNOWN]])
-    uses = langid.Lattice(["▁ab"], langid.PieceIndex(pieces)).expected(prob, np.array([3.0]))
+    prob = np.array([0.4, 0.2, 0.2, 0.2, 1e-300, langid.UNKNOWN])
+    uses = langid.expected_uses(["▁ab", "▁"], np.array([3.0, 1.0]), langid.PieceTrie(pieces), np.log(prob))
     split, whole = 0.4 * 0.2 * 0.2, 0.4 * 0.2
-    assert uses[0] == pytest.approx(3) and uses[3] == pytest.approx(3 * whole / (split + whole)) and uses[1] == pytest.approx(3 * split / (split + whole))
+    assert uses[0] == pytest.approx(4) and uses[3] == pytest.approx(3 * whole / (split + whole)) and uses[1] == pytest.approx(3 * split / (split + whole))
 
 
 # ---- URL rules
@@ -238,14 +318,64 @@ def test_page_text_keeps_content():
 
 def test_wrapper_finds_the_template():
     page = lambda i: f"<body><div><p>Welcome to our site</p></div><div><h1>Title {i}</h1>{''.join(f'<p>text {i} {k}</p>' for k in range(i % 4 + 1))}</div><div><p>All rights reserved</p></div></body>"
-    wrapper = html_text.induce([page(i) for i in range(6)])
-    assert html_text.text_of(page(9), wrapper, {}) == "Title 9\ntext 9 0\ntext 9 1"
-    assert html_text.induce([page(1)] * 6) is None
+    wrappers = {k: html_text.Wrapper(w) for k, w in html_text.induce([page(i) for i in range(6)]).items()}
+    assert html_text.text_of(page(9), wrappers.get) == "Title 9\ntext 9 0\ntext 9 1"
+    assert html_text.induce([page(1)] * 6) == {}
+
+
+def test_structure_tells_template_without_kinds():
+    """Menus, adverts and footers that vary from page to page, in elements whose names say nothing."""
+    words = lambda i, n: " ".join(f"w{(i * 37 + k * 11) % 101}" for k in range(n))
+    menu = lambda i: "".join(f"<li><a href=/{k}>{words(i + k, 2)}</a></li>" for k in range(3 + i % 4))
+    page = lambda i: (
+        f"<body><div class=u><ul>{menu(i)}</ul></div><div class=v><span>{words(i, 4)}</span></div><div class=w><div class=x><h1>{words(i, 3)}</h1>"
+        + "".join(f"<p>{words(i + k, 60)}</p>" for k in range(2 + i % 5)) + f"<div class=y><p>{words(i, 50)} <a>{words(i, 2)}</a></p></div></div></div><h2>{words(i, 5)}</h2><div class=z>{words(i, 3)}</div></body>"
+    )
+    want = lambda i: "\n".join([words(i, 3), *(words(i + k, 60) for k in range(2 + i % 5)), words(i, 50) + " " + words(i, 2), words(i, 5)])
+    for kinds in (True, False):
+        wrappers = {k: html_text.Wrapper(w, kinds) for k, w in html_text.induce([page(i) for i in range(12)]).items()}
+        assert len(wrappers) == 1
+        for i in (3, 8, 20):
+            assert html_text.text_of(page(i), wrappers.get, kinds) == want(i) != html_text.text_of(page(i), {}.get, kinds)
+
+
+def test_wide_and_deep_pages_are_aligned():
+    wide = "<div>" + "".join(f"<div class=c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}><p>t{i}</p></div>" for i in range(3000)) + "</div>"
+    deep = "<div>" * 3000 + "x" + "</div>" * 3000
+    for html in (wide, deep):
+        top = html_text.slots_of(html_text.parse(html))
+        assert max(len(s.children) for s in html_text.numbered_slots(top)) <= 2 * html_text.WIDE
+        pages = [html + f"<p>page {i}</p>" for i in range(5)]
+        wrappers = {k: html_text.Wrapper(w) for k, w in html_text.induce(pages).items()}
+        assert html_text.text_of(pages[2], wrappers.get) == "page 2"
+
+
+def slow_matching(a, b):
+    """The heaviest matching by trying every order-preserving choice of children."""
+    if a.label != b.label:
+        return 0
+
+    def best(x, y):
+        if not x or not y:
+            return 0
+        return max(best(x[1:], y), best(x, y[1:]), slow_matching(x[0], y[0]) + best(x[1:], y[1:]) if x[0].label == y[0].label else 0)
+
+    return 1 + best(a.children, b.children)
+
+
+def test_tree_matching_is_the_heaviest():
+    rng = random.Random(5)
 
+    def tree(depth):
+        s = html_text.Slot(rng.choice("ab"), "div", False, False)
+        s.children = [tree(depth - 1) for _ in range(rng.randint(0, 3))] if depth else []
+        return s
 
-def test_tree_matching_weight():
-    a, b = (html_text.parse(x) for x in ("<div><p>1</p><p>2</p><ul><li>x</li></ul></div>", "<div><p>1</p><ul><li>x</li><li>y</li></ul></div>"))
-    assert html_text.Matcher().weight(a, b) == 7  # root, div, p with text, ul, li with text
+    for _ in range(150):
+        a, b = tree(3), tree(3)
+        m = html_text.Matcher()
+        assert m.weight(a, b) == slow_matching(a, b) == len(pairs := list(m.pairs(a, b)))
+        assert all(x.label == y.label for x, y in pairs) and len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
 
 
 # ---- quality
