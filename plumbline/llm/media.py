@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import freeing, slices
+
 #: Blocks across and down a frame.
 WIDE, HIGH = 8, 2
 FPS = 25
@@ -372,38 +374,42 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Per row: doc_id, n_bytes, media (an AVI file)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             schema = pa.schema([("doc_id", batch.schema.field(0).type), ("n_bytes", pa.int64()), ("media", pa.binary())])
             rows = zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True)
             yield from _batches(((i, len(t or b""), media_of(t or b"")) for i, t in rows), schema, 2)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(freeing(run), f"doc_id {kind}, n_bytes long, media binary")
 
 
 CLIP = pa.list_(pa.struct([("first_frame", pa.int32()), ("frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())]))
 
 
 def read_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """Per file: the id, payload (null for files of others), n_frames, and clips as an array; ``clips`` makes rows of them."""
+    """Per file: the id, payload (null for files of others), n_frames, and clips as an array; ``clips`` makes rows of them. Null and broken
+    media (no AVI file, cut-off or damaged frames, kinds of frames other than baseline) have null in all of these."""
 
     def one(raw: bytes | None) -> tuple:
         if raw is None:
             return None, None, None
-        film = read_avi(raw)
-        decoded = decode_all(raw, film["frames"])
+        try:
+            film = read_avi(raw)
+            decoded = decode_all(raw, film["frames"])
+        except (ValueError, LookupError, ArithmeticError, struct.error):
+            return None, None, None
         found = [{"first_frame": a, "frames": n, "start_s": a / film["fps"], "end_s": (a + n) / film["fps"]} for a, n in shots(histograms(decoded))]
         return payload_of(decoded, film["note"]), len(decoded), found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 256):
             schema = pa.schema([("doc_id", batch.schema.field(0).type), ("payload", pa.binary()), ("media", pa.binary()), ("n_frames", pa.int32()), ("clips", CLIP)])
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             made = ((i, m, *one(m)) for i, m in rows)
             yield from _batches(((i, p, m, n, c) for i, m, p, n, c in made), schema, 2)
 
     kind = media.schema[id_col].dataType.simpleString()
-    return media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, f"doc_id {kind}, payload binary, media binary, n_frames int, clips array<struct<first_frame int, frames int, start_s double, end_s double>>")
+    return media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(freeing(run), f"doc_id {kind}, payload binary, media binary, n_frames int, clips array<struct<first_frame int, frames int, start_s double, end_s double>>")
 
 
 def clips(read: DataFrame) -> DataFrame:

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import freeing, slices, words_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bounds of each worker's memory of words: entries, and characters of a word.
-REMEMBERED, WORD_CHARS = 1_000_000, 64
+REMEMBERED, WORD_CHARS = 300_000, 64
 ROOT = 0
 
 
@@ -104,21 +104,22 @@ def read_ranks(vocabulary: str) -> list[bytes]:
         return [base64.b64decode(line.split()[0]) for line in lines if line.strip()]
 
 
-_counts: dict[str, WordCounts] = {}
+_automata: dict[str, LongestMatch] = {}
 
 
-def counter(vocabulary: str) -> WordCounts:
-    if vocabulary not in _counts:
-        _counts[vocabulary] = WordCounts(LongestMatch(read_ranks(vocabulary)))
-    return _counts[vocabulary]
+def automaton(vocabulary: str) -> LongestMatch:
+    """This worker's automaton."""
+    if vocabulary not in _automata:
+        _automata[vocabulary] = LongestMatch(read_ranks(vocabulary))
+    return _automata[vocabulary]
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """Per row: the id, n_words, n_tokens (unknown words included), n_unknown."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = counter(vocabulary).__getitem__
-        for batch in batches:
+        of = WordCounts(automaton(vocabulary)).__getitem__
+        for batch in slices(batches):
             words, tokens, unknown = [], [], []
             for text in batch.column(1).to_pylist():
                 counts = list(map(of, words_of(text or "")))
@@ -129,4 +130,4 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (words, tokens, unknown))], names=["doc_id", "n_words", "n_tokens", "n_unknown"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_words long, n_tokens long, n_unknown long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(freeing(run), f"doc_id {kind}, n_words long, n_tokens long, n_unknown long")
