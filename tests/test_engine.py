@@ -367,21 +367,21 @@ print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
 
 
 def test_index_modes_and_changes(spark, tmp_path, cloud):
-    base, q, _ = cloud
-    some = base.filter("id < 500")
+    base, q = cloud[0].filter("id < 300"), cloud[1].filter("qid < 12")
+    some = base.filter("id < 250")
     made = index.CombinedIndex(spark, str(tmp_path / "index"), IndexConfig(dimensions=16, max_neighbors=8))
     made.insert(some)
     truth = topk.top_k_bulk(q, some, 10, exclude_self=False).cache()
-    for mode, least in (("exact", 1.0), ("asymmetric", 0.9), ("beam", 0.85)):
+    for mode, least in (("exact", 1.0), ("beam", 0.85)):  # the others are in the catalogue's index_recall
         found = made.search(q, 10, 48, mode).cache()
         assert mean_recall(found, truth) >= least, mode
         assert found.filter("rank = 1 and precise > 1e-9").count() == 0  # every query finds itself
     assert made.entry_point() is not None and made.neighbors(0).count() > 0 and made.node(3)["level"] >= 0
     assert made.edges().groupBy("layer", "src").count().filter("(layer = 0 and count > 16) or (layer > 0 and count > 8)").count() == 0
-    made.insert(base.filter("id >= 500"))
-    assert len(made) == 600 and made.edges().filter("layer = 0 and dst >= 500 and src < 500").count() > 0
+    made.insert(base.filter("id >= 250"))
+    assert len(made) == 300 and made.edges().filter("layer = 0 and dst >= 250 and src < 250").count() > 0
     made.remove(spark.range(0, 5))
-    assert len(made) == 595 and made.edges().filter("src < 5 or dst < 5").count() == 0
+    assert len(made) == 295 and made.edges().filter("src < 5 or dst < 5").count() == 0
     before = made.node(77)["norm"]
     made.rebuild_with_centroid()
     assert made.node(77)["norm"] != before
