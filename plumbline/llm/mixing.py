@@ -38,6 +38,8 @@ SEED = 20
 PROGRAM = 4096
 #: About so many rows of one length are ranked together.
 BUCKET = 1024
+#: Lengths of a source that are looked up in a broadcast table, at most.
+HOT_LENGTHS = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
@@ -137,7 +139,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     p = plan.select(F.col("source").alias("s"), F.col("size").alias("z"), "n", "source_size", "target", "base", "more")
     h = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rows = sizes.join(p, sizes["source"].eqNullSafe(p["s"]) & (sizes["size"] == p["z"])).drop("s", "z").withColumn("h", h)
+    # lengths that many rows of a source share are looked up in a broadcast table of at most HOT_LENGTHS rows, so that no task gets all rows of one
+    hot = p.filter(F.col("n") > F.lit(max(BUCKET, sizes.count() // HOT_LENGTHS)))
+    fits = lambda t: sizes["source"].eqNullSafe(t["s"]) & (sizes["size"] == t["z"])
+    rest = p.join(hot.select(F.col("s").alias("hs"), F.col("z").alias("hz")), F.col("s").eqNullSafe(F.col("hs")) & (F.col("z") == F.col("hz")), "left_anti")
+    few = F.broadcast(hot)
+    rows = sizes.join(few, fits(few)).unionByName(sizes.join(few, fits(few), "left_anti").join(rest, fits(rest))).drop("s", "z").withColumn("h", h)
     # the upper 32 bits of the hash, as a share of the length's buckets
     rows = rows.withColumn("bucket", F.floor(F.shiftrightunsigned("h", 32) / F.lit(2.0**32) * F.ceil(F.col("n") / F.lit(BUCKET))).cast("long"))
     part = (F.col("more") > 0) & (F.col("more") < F.col("n"))
