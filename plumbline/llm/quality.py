@@ -8,8 +8,10 @@ a text is kept if its score isn't below a threshold set once from the trusted
 texts' scores (their mean less ``spread`` standard deviations). The threshold is
 applied to every document alike; nothing is drawn at random.
 
-Both models are a fixed number of hashed counts, so what the driver holds doesn't
-grow with the corpus. All counts cover every row.
+All counts cover every row, and the trusted ones, like the threshold, every trusted
+text. The number of hashed counts grows with the cube root of the corpus, in powers
+of 2: twice ``FEATURES`` up to ``GROWS`` bytes of text, 16 times as many at 4,096
+times as much text (about a million for 100 TB, 8 MB).
 
 Defined results: a null text is an empty one; it has no words and fails the base
 rules. Without trusted texts or without words in the corpus all ratios are 0 and
@@ -27,12 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import WORD_SQL, stored
 
-#: Hashed features of words, and as many of word pairs.
-FEATURES = 4096
+#: Hashed features of words, and as many of word pairs, of a corpus of up to GROWS bytes; twice as many for each eightfold corpus.
+FEATURES, GROWS = 4096, 50_000_000
 SMOOTHING = 1.0
 SPREAD = 7.0
-#: At most so many trusted texts make the target model.
-TRUSTED = 20_000
+#: Up to so many trusted ids are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 MIN_WORDS = 50
 MAX_REPEATED = 50
 #: The columns of the base rules.
@@ -113,8 +115,9 @@ def log_ratios(counts: dict[int, tuple[int, int]], features: int, smoothing: flo
     return out
 
 
-def _score(ratios: list[float], features: int) -> Column:
+def _score(ratios: list[float]) -> Column:
     """The mean log ratio of a text's features; 0 for a text without words."""
+    features = len(ratios) // 2
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
     each = F.zip_with(
         "_w", F.slice("_w", 2, F.greatest(F.size("_w"), F.lit(1))),
@@ -124,24 +127,35 @@ def _score(ratios: list[float], features: int) -> Column:
     return F.when(F.size("_w") > 0, total / (2 * F.size("_w") - 1)).otherwise(F.lit(0.0))
 
 
-def fit(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", features: int = FEATURES, spread: float = SPREAD, most: int = TRUSTED) -> tuple[list[float], float]:
-    """The log ratios and the threshold. trusted_ids: one column of ids; of more than ``most`` of them, those with the least hashes count."""
+def n_features(size: int) -> int:
+    """Features of words for so many bytes of text."""
+    doubled = 0
+    while size > GROWS << 3 * doubled:
+        doubled += 1
+    return FEATURES << doubled
+
+
+def fit(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", features: int | None = None, spread: float = SPREAD) -> tuple[list[float], float]:
+    """The log ratios and the threshold. trusted_ids: one column of ids, all of which count."""
     i = F.col(trusted_ids.columns[0])
-    ids = trusted_ids.filter(i.isNotNull()).select(i.alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(most)
-    ids = F.broadcast(stored(ids, "trusted").withColumn("_known", F.lit(1)))  # at most ``most`` rows
+    ids = stored(trusted_ids.filter(i.isNotNull()).select(i.alias("_id")).distinct(), "trusted").withColumn("_known", F.lit(1))
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    if features is None:
+        features = n_features(rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("b")).first()["b"])
     words = rows.join(ids, F.col("_doc") == F.col("_id"), "left").select(_words("_text").alias("_w"), F.coalesce("_known", F.lit(0)).alias("_t"))
     ratios = log_ratios(feature_counts(words, features), features)
     trusted = words.filter("_t = 1").filter(F.size("_w") >= MIN_WORDS)
-    scores = trusted.select(_score(ratios, features).alias("s")).agg(F.avg("s").alias("m"), F.stddev_pop("s").alias("d")).first()
+    scores = trusted.select(_score(ratios).alias("s")).agg(F.avg("s").alias("m"), F.stddev_pop("s").alias("d")).first()
     threshold = scores["m"] - spread * scores["d"] if scores["m"] is not None else -math.inf
     return ratios, float(threshold)
 
 
-def judged(docs: DataFrame, model: tuple[list[float], float], text_col: str = "text", features: int = FEATURES) -> DataFrame:
+def judged(docs: DataFrame, model: tuple[list[float], float], text_col: str = "text") -> DataFrame:
     """Adds the base columns, score and kept."""
     ratios, threshold = model
-    df = with_base(docs, text_col).withColumn("score", _score(ratios, features)).drop("_w")
+    df = with_base(docs, text_col).withColumn("score", _score(ratios)).drop("_w")
     verdict = F.col("score") >= F.lit(threshold) if math.isfinite(threshold) else F.lit(True)
     df = df.withColumn("kept", ~F.col("base_failed") & verdict)
     found = [*BASE, "score", "kept"]
@@ -149,14 +163,14 @@ def judged(docs: DataFrame, model: tuple[list[float], float], text_col: str = "t
     return df.select(*(c for c in docs.columns if c not in found), F.inline(F.array(F.struct(*found))))
 
 
-def kept_rows(docs: DataFrame, model: tuple[list[float], float], text_col: str = "text", features: int = FEATURES) -> DataFrame:
+def kept_rows(docs: DataFrame, model: tuple[list[float], float], text_col: str = "text") -> DataFrame:
     """The rows of docs whose verdict is true."""
     packed = docs.select(F.struct(*docs.columns).alias("_all"), F.col(text_col).alias("_text"))
-    return judged(packed, model, "_text", features).filter("kept").select("_all.*")
+    return judged(packed, model, "_text").filter("kept").select("_all.*")
 
 
-def quality(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", features: int = FEATURES, spread: float = SPREAD) -> DataFrame:
+def quality(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", features: int | None = None, spread: float = SPREAD) -> DataFrame:
     """Per row: doc_id, the base columns, score and kept."""
     model = fit(docs, trusted_ids, id_col, text_col, features, spread)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return judged(rows, model, "text", features).drop("text")
+    return judged(rows, model, "text").drop("text")
