@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import matrices as M
 from plumbline.functions import vectors as V
 from plumbline.operators import bitplane, evaluate, graph, index, rabitq, topk, topology
 from plumbline.operators.store import VectorStore, access_predictor, batch_has_errors, batch_success_ids, combined_memory, memory_model
@@ -194,6 +195,28 @@ def test_code_recall(spark, cloud):
     assert recall[4] >= recall[1] - 0.05 and recall[1] > naive and recall[4] > 0.6
 
 
+@pytest.mark.parametrize(("kernel", "column", "missing"), [
+    (M.cosine_similarity, V.cosine_similarity, 0.0), (M.cosine_distance(), V.cosine_distance, 1.0), (M.bulk_cosine_distance, V.bulk_cosine_distance, 2.0),
+    (M.sheaf_cosine, V.sheaf_cosine, 1.0), (M.retrieval_score(), V.retrieval_score, 0.0), (M.l2_sq, V.l2_sq, None), (M.dot, V.dot, None),
+])
+def test_kernels_by_matrices(spark, kernel, column, missing):
+    """As expressions give them, on odd vectors, too; one partition of rows is dealt to all tasks, as its pairs would be one task's work."""
+    odd = [(0, [1.0, 2.0, -3.0]), (1, [0.0, 0.0, 0.0]), (2, None), (3, [1.0, None, 2.0]), (4, [1.0, 2.0]), (5, [3e6, 1.0, 2.0]), (6, [3e6, 1.0, 2.5]), (7, [])]
+    base = spark.createDataFrame(odd, "id long, v array<float>").coalesce(1)
+    q = base.select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    common = column is V.sheaf_cosine
+    if missing is not None and not common:  # expressions give no defined cosine of different lengths
+        q, base = (x.filter(f"{c} is null or size({c}) = 3") for x, c in ((q, "q"), (base, "v")))
+    if common:  # a null within a vector isn't a number to compare
+        q, base = q.filter("qid <> 3"), base.filter("id <> 3")
+    made = topk.pairs_by(q, base, kernel, missing, common, 6)
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    rounded = lambda df: {(r["qid"], r["id"]): r["d"] for r in df.collect()}
+    got, want = rounded(made.withColumnRenamed("distance", "d")), rounded(topk.pairs(q, base, column("q", "v")).select("qid", "id", (F.round("distance", 6) + 0.0).alias("d")))
+    assert got.keys() == want.keys()
+    assert all(got[k] == want[k] or got[k] == pytest.approx(want[k], rel=1e-12) for k in want), [(k, got[k], want[k]) for k in want if got[k] != want[k]]
+
+
 def test_graph_search_recall(spark, cloud):
     base, q, truth = cloud
     edges = graph.build_partitioned(base, 16, parts=4)
