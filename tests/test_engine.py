@@ -239,6 +239,16 @@ def test_partitioned_build_links_more_vectors(spark):
     assert recall >= 0.95, recall
 
 
+def test_meetings_are_bounded(spark):
+    """A hub that all are linked with makes no pairs of all: what a refinement moves grows with the vectors, not with the square of their degrees."""
+    base = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(300)], "id long, v array<float>")
+    edges = spark.createDataFrame([(i, 0, float(i * i)) for i in range(1, 300)], EDGES)
+    found = graph._met(edges, base, 16).collect()
+    assert {(r["src"], r["dst"]) for r in found} >= {(1, 2), (2, 1), (3, 2)}
+    assert all(r["dist"] == (r["src"] - r["dst"]) ** 2 for r in found)
+    assert len(found) <= (2 * graph.MEET + 1) * graph.TAKE + 2 * 300
+
+
 @pytest.mark.parametrize("name", ["graph_search", "rerank_pairwise", "d_total_persistence"])
 def test_batch_grows_with_the_table(spark, tmp_path, name):
     rng = np.random.default_rng(4)
