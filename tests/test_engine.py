@@ -485,3 +485,36 @@ def test_access_predictor(spark):
     log = spark.createDataFrame([(0, 1), (1, 2), (2, 1), (3, 2), (4, 1), (5, 3)], "seq long, id long")
     best = {r["prev"]: (r["next"], round(r["weight"], 6)) for r in access_predictor(log).filter("is_best").collect()}
     assert best == {1: (2, 0.19), 2: (1, 0.19)}
+
+
+def test_many_queries_keep_their_rows(spark, monkeypatch):
+    """With as many queries as rows, a task compares its own queries with all rows, so nothing is shuffled; the results are those of the other way, ties, odd sizes and several passes, too."""
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.integers(0, 3, (300, 4)), rng.normal(size=(200, 4)) * 1e4 + 1e6, rng.normal(size=(20, 4)) * 1e-12]).astype(np.float32)
+    base = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "id long, v array<float>").repartition(5)
+    q = base.select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    rows = lambda df: sorted(map(tuple, df.select("qid", "id", "distance", "rank").collect()))
+    want = rows(topk.top_k_by(q, base, 6, topk.Distances("l2")))
+    monkeypatch.setattr(topk, "MANY", 100)
+    made = topk.top_k_bulk(q, base, 6)
+    assert "Exchange hashpartitioning(qid" not in made._jdf.queryExecution().executedPlan().toString()
+    assert rows(made) == want
+    monkeypatch.setattr(topk, "BROADCAST_BYTES", 8000)
+    assert rows(topk._by_rows(q, base, 6, topk.Distances("l2"), True, topk.TILE)) == want
+
+
+def test_held_graph_gives_what_joins_give(spark, monkeypatch):
+    """Selection and beams by tasks that hold vectors and graph, which move no vectors, against the way of larger tables."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(150, 6)).astype(np.float32)
+    v[140:] = v[:10]
+    base = spark.createDataFrame([(3 * i, x) for i, x in enumerate(v.tolist())], "id long, v array<float>").repartition(3).cache()
+    near = graph.knn_graph(base, 12).select("src", "dst", "dist").unionByName(spark.createDataFrame([(0, 7, 0.5)], EDGES)).cache()  # 7 has no vector
+    q, first = base.filter("id < 30").select(F.col("id").alias("qid"), F.col("v").alias("q")), spark.createDataFrame([(90,), (3,), (7,)], "node long")
+    rows = lambda df: sorted(tuple(round(x, 9) for x in r) for r in df.collect())
+    made = graph.select_neighbors(near, base, 6)
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    run = lambda: (rows(graph.select_neighbors(near, base, 6)), rows(graph.beam_search(near, base, q, first, 8)), rows(graph.backfill(near, base, 6, metric="cosine")))
+    held = run()
+    monkeypatch.setattr(graph, "BROADCAST_BYTES", 0)
+    assert held == run()
