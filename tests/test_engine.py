@@ -518,3 +518,15 @@ def test_held_graph_gives_what_joins_give(spark, monkeypatch):
     held = run()
     monkeypatch.setattr(graph, "BROADCAST_BYTES", 0)
     assert held == run()
+
+
+def test_ego_stats_move_members_only(spark):
+    """Counts are made where an ego's members meet, without a row for each of their edges, and are those of the groups' edge tables."""
+    rng = np.random.default_rng(5)
+    edges = spark.createDataFrame([(int(a), int(b), 1.0) for a, b in {(a, b) for a, b in rng.integers(0, 40, (160, 2))}], EDGES).cache()
+    egos, show = spark.range(45), lambda df: sorted(map(tuple, df.select("ego", "nv", "ne", "beta0", "beta1", "euler").collect()))
+    for hops, cap in ((1, 4), (2, 500)):
+        made = topology.ego_stats(edges, egos, hops, cap)
+        assert "least(" not in made._jdf.queryExecution().executedPlan().toString()
+        members, inside = topology.ego_single(edges, egos, hops)
+        assert show(made) == show(topology.betti(members, topology.cap_edges(inside, cap)))
