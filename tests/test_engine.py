@@ -530,3 +530,19 @@ def test_ego_stats_move_members_only(spark):
         assert "least(" not in made._jdf.queryExecution().executedPlan().toString()
         members, inside = topology.ego_single(edges, egos, hops)
         assert show(made) == show(topology.betti(members, topology.cap_edges(inside, cap)))
+
+
+def test_beams_by_codes_that_tasks_hold(spark, monkeypatch):
+    """Estimates, and distances where there are vectors, guide a beam in a task as they do by joins."""
+    rng = np.random.default_rng(6)
+    base = spark.createDataFrame([(i, x) for i, x in enumerate(rng.normal(size=(80, 8)).tolist())], "id long, v array<float>").cache()
+    edges, m, center = graph.knn_graph(base, 6).cache(), rabitq.rotation(8), rabitq.centroid(base).cache()
+    q = base.filter("id < 5").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    coded = q.join(rabitq.encode_queries(q, center, m), "qid").cache()
+    nodes = base.join(rabitq.encode(base, center, m, 4), "id").withColumn("v", F.when(F.col("id") % 3 > 0, F.col("v"))).withColumn("recon", rabitq.reconstructed("code", 4))
+    nodes = nodes.withColumn("full", F.coalesce("v", F.array_repeat(F.lit(0.0).cast("float"), 8))).withColumn("known", F.col("v").isNotNull().cast("int")).cache()
+    estimate, precise = F.greatest(rabitq.raw_estimate(8), F.lit(0.0)), F.when(F.col("v").isNotNull(), V.l2_sq("q", "v"))
+    run = lambda: sorted(tuple(round(x, 9) for x in r) for r in graph.beam_search(edges, nodes, coded, spark.range(70, 72), 5, estimate, precise, index.CodeSteps("l2", 4, 8, True)).collect())
+    held = run()
+    monkeypatch.setattr(graph, "BROADCAST_BYTES", 0)
+    assert held == run()
