@@ -546,3 +546,25 @@ def test_beams_by_codes_that_tasks_hold(spark, monkeypatch):
     held = run()
     monkeypatch.setattr(graph, "BROADCAST_BYTES", 0)
     assert held == run()
+
+
+def test_searching_tasks_share_the_queries(spark):
+    """Queries that all stand in one partition, as new vectors in a table's last file, are dealt to all tasks."""
+    rng = np.random.default_rng(8)
+    base = spark.createDataFrame([(i, x) for i, x in enumerate(rng.normal(size=(120, 4)).tolist())], "id long, v array<float>").repartition(6).cache()
+    q = base.repartition(1).union(base.limit(0).repartition(5)).select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    found = graph._held_beams(graph.knn_graph(base, 6), base, q, spark.range(1), 4, graph.Steps("l2"))
+    rows = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(rows) == 480 and max(rows) < 240
+
+
+def test_repeated_candidates_count_once(spark):
+    """Selection takes a pair that comes twice as one candidate, over the border of two batches, too."""
+    rng = np.random.default_rng(9)
+    base = spark.createDataFrame([(i, x) for i, x in enumerate(rng.normal(size=(60, 5)).tolist())], "id long, v array<float>").cache()
+    near = graph.knn_graph(base, 9).select("src", "dst", "dist").cache()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(graph.select_neighbors(near, base, 5))
+    assert rows(graph.select_neighbors(near.union(near), base, 5)) == want
+    parts = [tuple(np.array(c) for c in x) for x in (([1, 1, 2], [5, 5, 6]), ([2, 2, 3], [6, 7, 7]), ([], []), ([3], [7]))]
+    assert [tuple(map(list, x)) for x in graph._unrepeated(iter(parts))] == [([1, 2], [5, 6]), ([2, 3], [7, 7]), ([], [])]
