@@ -383,3 +383,11 @@ def test_log_ratios():
     r = quality.log_ratios({0: (10, 5), 1: (10, 0)}, 2)
     assert r[0] > 0 > r[1] and r[2:] == [0.0, 0.0]
     assert quality.log_ratios({}, 2) == [0.0] * 4
+
+
+def test_packing_loads_its_tables_once_a_worker():
+    """A worker's next task takes the vocabulary's tables from the one before, and none of its words."""
+    first = packing.encoder(packing.VOCABULARY)
+    assert list(first.encode_all(["some words"])) and first.words
+    second = packing.encoder(packing.VOCABULARY)
+    assert second.whole is first.whole and second.ranked is first.ranked and not second.words
