@@ -568,3 +568,51 @@ def test_repeated_candidates_count_once(spark):
     assert rows(graph.select_neighbors(near.union(near), base, 5)) == want
     parts = [tuple(np.array(c) for c in x) for x in (([1, 1, 2], [5, 5, 6]), ([2, 2, 3], [6, 7, 7]), ([], []), ([3], [7]))]
     assert [tuple(map(list, x)) for x in graph._unrepeated(iter(parts))] == [([1, 2], [5, 6]), ([2, 3], [7, 7]), ([], [])]
+
+
+def test_layers_are_built_at_once(spark, monkeypatch):
+    """Tasks that hold all vectors deal and sort the edges of all layers themselves: the JVM sorts none, and the graph is what joins give, with copies and ids far apart."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(220, 5)).astype(np.float32)
+    v[150:170] = v[3]
+    base = spark.createDataFrame([(7 * i - 100, x) for i, x in enumerate(v.tolist())], "id long, v array<float>").repartition(3).cache()
+    rows = lambda df: sorted(tuple(r) for r in df.select("layer", "src", "dst", "dist").collect())
+    plan = graph.layers(base, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Window" not in plan and "Join" not in plan
+    held = {metric: rows(graph.layers(base, 3, metric)) for metric in ("l2", "cosine")}
+    assert {r[0] for r in held["l2"]} >= {0, 1, 2}
+    monkeypatch.setattr(graph, "held_by_all", lambda vectors: None)
+    for metric in held:
+        other = rows(graph.layers(base, 3, metric))
+        assert [r[:3] for r in held[metric]] == [r[:3] for r in other]
+        assert np.allclose([r[3] for r in held[metric]], [r[3] for r in other], rtol=0, atol=1e-12)
+
+
+def test_rows_are_coded_as_expressions_code_them(spark):
+    """encode_rows() gives encode()'s bits, without a join, also for copies of the center, zeros and vectors that hold a null."""
+    rng = np.random.default_rng(10)
+    v = [*rng.normal(size=(60, 12)).tolist(), [0.0] * 12, [None, *[1.0] * 11], [float("nan")] * 12, [1e30] * 12]
+    base = spark.createDataFrame(list(enumerate(v)), "id long, v array<float>").cache()
+    center, m = rabitq.centroid(base.filter("id < 60")).cache(), rabitq.rotation(12)
+    v0 = spark.createDataFrame([(99, center.first()["c"])], "id long, v array<float>")
+    for bits in (1, 4, 7):
+        given = base.unionByName(v0).withColumn("level", F.lit(2))
+        made = rabitq.encode_rows(given, center, m, bits)
+        assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+        want = {r["id"]: r for r in rabitq.encode(given, center, m, bits).collect()}
+        for r in made.collect():
+            assert r["level"] == 2 and all(repr(r[c]) == repr(want[r["id"]][c]) for c in ("code", "sqr_norm", "norm", "x0", "error_bound")), r
+
+
+def test_close_places_in_cached_blocks():
+    """The blocks, whole and partial, have every place that a plain comparison finds."""
+    rng = np.random.default_rng(11)
+    for n, m in ((512, 1024), (700, 2100), (3, 5), (513, 8)):
+        left, right = (rng.normal(size=(k, 4)).astype(np.float32) for k in (n, m))
+        limit = rng.normal(-3, 1, n).astype(np.float32)
+        got = topk._under(left, right, limit)
+        # a block's product may differ from the whole one's in the last bit
+        d = left.astype(float) @ right.T.astype(float) - limit[:, None]
+        seen = np.zeros(d.shape, bool)
+        seen[got] = True
+        assert len(got[0]) == seen.sum() and seen[d < -1e-5].all() and not seen[d > 1e-5].any()
