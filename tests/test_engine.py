@@ -616,3 +616,9 @@ def test_close_places_in_cached_blocks():
         seen = np.zeros(d.shape, bool)
         seen[got] = True
         assert len(got[0]) == seen.sum() and seen[d < -1e-5].all() and not seen[d > 1e-5].any()
+
+
+def test_index_compact_needs_no_worker_for_its_row(spark):
+    """The one row of figures is a constant of the plan."""
+    made = catalogue.QUERIES["index_compact"](spark, "/root/testdata/sf0.001")
+    assert "ExistingRDD" not in made._jdf.queryExecution().executedPlan().toString() and made.count() == 1
