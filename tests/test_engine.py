@@ -622,3 +622,10 @@ def test_index_compact_needs_no_worker_for_its_row(spark):
     """The one row of figures is a constant of the plan."""
     made = catalogue.QUERIES["index_compact"](spark, "/root/testdata/sf0.001")
     assert "ExistingRDD" not in made._jdf.queryExecution().executedPlan().toString() and made.count() == 1
+
+
+def test_only_vectors_with_ids_of_their_own_are_held(spark):
+    """Repeated and missing ids go the way of joins; whether there are any is seen where the vectors are held, without an exchange."""
+    rows = lambda *ids: spark.createDataFrame([(i, [float(k), 1.0]) for k, i in enumerate(ids)], "id long, v array<float>")
+    assert graph.held_by_all(rows(5, 3, 5)) is None and graph.held_by_all(rows(5, None)) is None
+    assert graph.held_by_all(rows(5, 3, 9)).value[0].tolist() == [3, 5, 9]
