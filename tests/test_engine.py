@@ -629,3 +629,13 @@ def test_only_vectors_with_ids_of_their_own_are_held(spark):
     rows = lambda *ids: spark.createDataFrame([(i, [float(k), 1.0]) for k, i in enumerate(ids)], "id long, v array<float>")
     assert graph.held_by_all(rows(5, 3, 5)) is None and graph.held_by_all(rows(5, None)) is None
     assert graph.held_by_all(rows(5, 3, 9)).value[0].tolist() == [3, 5, 9]
+
+
+def test_compaction_writes_nodes_only(spark, tmp_path, cloud):
+    """A change writes the tables that it changes; the graph of a compacted index is the one of the version before."""
+    made = index.CombinedIndex(spark, str(tmp_path / "index"), IndexConfig(dimensions=16, max_neighbors=4))
+    made.insert(cloud[0].filter("id < 60"))
+    before, center = sorted(made.edges().collect()), made.center().first()
+    made.compact()
+    assert sorted(p.name for p in (tmp_path / "index" / "v2").iterdir() if not p.name.startswith(".")) == ["_DONE", "nodes"]
+    assert sorted(made.edges().collect()) == before and made.center().first() == center and made.is_compacted()
